@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["near_duplicates"]
+MODULES = ["leakage", "near_duplicates", "repeated_lines"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
