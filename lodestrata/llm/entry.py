@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["error_pages", "leakage", "near_duplicates", "repeated_lines"]
+MODULES = ["error_pages", "leakage", "near_duplicates", "page_template", "repeated_lines"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
