@@ -105,8 +105,9 @@ def fit(trusted: list[str], bare: list[str], rest: list[str]) -> Model:
 
 
 def _sampled(rows: DataFrame, size: int) -> list[str]:
-    """The bodies with the least hashes of their ids."""
-    return [x[0] for x in rows.orderBy(F.xxhash64("id"), "id").select("body").limit(size).collect()]
+    """The bodies with the least hashes of their ids; ids are chosen first, so that no task sends more bodies."""
+    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(size)
+    return [x[0] for x in rows.join(F.broadcast(chosen), "id", "left_semi").select("body").limit(size).collect()]
 
 
 def fit_from(docs: DataFrame, errors: DataFrame) -> Model:
