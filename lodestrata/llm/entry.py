@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["encodings", "error_pages", "leakage", "near_duplicates", "page_template", "repeated_lines"]
+MODULES = ["encodings", "error_pages", "leakage", "near_duplicates", "page_template", "repeated_lines", "sentences"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
