@@ -35,7 +35,7 @@ MONTHS = ("Januar", "Jänner", "Februar", "März", "April", "Mai", "Juni", "Juli
 OPEN_ENDED = ("etc", "usw", "др", "dgl", "ltd", "inc", "co", "и т")
 
 WS = r"[\s   -     　]"
-POINT, MARK = "", ""
+POINT, MARK = "\ue000", "\ue010"
 _TERMS = r"[.!?…؟۔।॥]"
 _CLOSERS = rf"(?:[”’»\"')\]›]|“(?={WS}|[,;:]|$)|{WS}[»”›](?={WS}|[,;:.]|$))*"
 _OPEN = r"[“„«‘‚\"'‹]"
@@ -60,7 +60,7 @@ MASKS: list[tuple[str, str]] = [
     # a quotation that begins a sentence, in scripts without case: its attribution follows
     (
         rf"((?:^|[\n.!?؟।。！？][”’»」]?){WS}*[“«「『\"][^“”«»「」\n\"]{{1,400}}?)(?:{_TERMS}|{_EAST})(?=[”»」』\"]{WS}?\p{{Lo}})",
-        "$1",
+        "$1\ue001",
     ),
 ]
 BREAKS: list[tuple[str, str]] = [
@@ -75,7 +75,8 @@ SMALL: list[tuple[str, str]] = [
 
 def unit_spans(text: Column) -> Column:
     """An array of (start_char, end_char) by SQL expressions: code points from 0, the end exclusive."""
-    marked = F.regexp_replace(F.regexp_replace(text, r"[-]", "?"), "\r", " ")
+    marked = F.regexp_replace(F.regexp_replace(text, "[\ue000-\ue010]", "?"), "\r", " ")
+    small = ~text.rlike(r"\p{Lu}") & text.rlike(r"\p{Ll}.*\p{Ll}")
     for pattern, to in (*MASKS, *BREAKS):
         marked = F.regexp_replace(marked, pattern, to)
     # a text all in small letters: there the case of what follows tells nothing
