@@ -8,7 +8,7 @@ whole characters, the units' places are sums of lengths, and the original text i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.store import table
@@ -46,64 +46,60 @@ _NEXT = (
 _EAST = r"[。！？｡]"
 _THAI = r"[฀-๿]"
 
-#: (pattern, replacement) in order; all keep the length but the last ones, which add MARK.
-MASKS: list[tuple[str, str]] = [
-    # decimals, versions, host names, file names: a point between letters or digits
-    (r"(?<=[\p{L}\p{N}])\.(?=[\p{L}\p{N}])", POINT),
-    # numbers of list items
-    (r"(?m)^([ \t]*\p{N}{1,3})\.(?=[ \t])", f"$1{POINT}"),
-    # initials and other single letters; abbreviations before names and numbers; ordinals of days
-    (
-        rf"(?<![\p{{L}}\p{{N}}\p{{M}}])((?:\p{{L}}|{'|'.join(BEFORE_NAMES)}|{'|'.join(x.upper() for x in BEFORE_NAMES if len(x) > 2)})|(?i:{'|'.join(x.replace('.', '[.]') for x in BEFORE_NUMBERS)})(?=\.{WS}*\p{{N}})|\p{{N}}{{1,2}}(?=\.{WS}+(?i:{'|'.join(MONTHS)})\b))\.",
-        f"$1{POINT}",
-    ),
-    # a quotation that begins a sentence, in scripts without case: its attribution follows
-    (
-        rf"((?:^|[\n.!?؟।。！？][”’»」]?){WS}*[“«「『\"][^“”«»「」\n\"]{{1,400}}?)(?:{_TERMS}|{_EAST})(?=[”»」』\"]{WS}?\p{{Lo}})",
-        "$1\ue001",
-    ),
-]
-BREAKS: list[tuple[str, str]] = [
-    (rf"({_TERMS}+{_CLOSERS}){_NEXT}|((?<=\p{{IsGreek}})[;;]{_CLOSERS})(?={WS}+[\p{{Lu}}«“])|({_EAST}+[」』”’）》】)]*)(?!と)", f"$1$2$3{MARK}"),
-    (rf"(?=\n[ \t\r]*\n)|(?=\n[ \t]*(?:[-*•‣◦·–—][ \t]|\p{{N}}{{1,3}}[{POINT})][ \t]))|(?<={_THAI})(?=[ \t]+{_THAI})", MARK),
-]
-SMALL: list[tuple[str, str]] = [
-    (rf"(?<![\p{{L}}\p{{N}}\p{{M}}])({'|'.join((*OPEN_ENDED, *(x.lower() for x in BEFORE_NAMES if len(x) > 1)))})\.(?={WS}+\p{{Ll}})", f"$1{POINT}"),
-    (rf"([.!?]+)(?={WS}+[\p{{Ll}}])", f"$1{MARK}"),
-]
-
-
-def unit_spans(text: Column) -> Column:
-    """An array of (start_char, end_char) by SQL expressions: code points from 0, the end exclusive."""
-    marked = F.regexp_replace(F.regexp_replace(text, "[\ue000-\ue010]", "?"), "\r", " ")
-    small = ~text.rlike(r"\p{Lu}") & text.rlike(r"\p{Ll}.*\p{Ll}")
-    for pattern, to in (*MASKS, *BREAKS):
-        marked = F.regexp_replace(marked, pattern, to)
-    # a text all in small letters: there the case of what follows tells nothing
-    for pattern, to in SMALL:
-        marked = F.when(small, F.regexp_replace(marked, pattern, to)).otherwise(marked)
-    parts = F.split(marked, MARK)
-    blank = r" \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085                 　"
+_NAMES = "|".join((*BEFORE_NAMES, *(x.upper() for x in BEFORE_NAMES if len(x) > 2)))
+_NUMBERS = "|".join(x.replace(".", "[.]") for x in BEFORE_NUMBERS)
+_MONTHS = "|".join(MONTHS)
+
+#: A point that ends no sentence. It is matched first and what stands before it by lookbehind, so that the engine passes
+#: over all other characters: between letters or digits (decimals, versions, host and file names); after the number of a
+#: list item; after initials and other single letters and abbreviations before names; before numbers; after a day.
+POINTS = (
+    r"\.(?:(?=[\p{L}\p{N}])(?<=[\p{L}\p{N}]\.)"
+    r"|(?=[ \t])(?<=(?:^|\n)[ \t]{0,8}\p{N}{1,3}\.)"
+    rf"|(?<=(?<![\p{{L}}\p{{N}}\p{{M}}])(?:\p{{L}}|{_NAMES})\.)"
+    rf"|(?={WS}*\p{{N}})(?<=(?<![\p{{L}}\p{{N}}\p{{M}}])(?i:{_NUMBERS})\.)"
+    rf"|(?={WS}+(?i:{_MONTHS})\b)(?<=(?<!\p{{N}})\p{{N}}{{1,2}}\.))"
+)
+#: A quotation that begins a sentence, in scripts without case: its attribution follows.
+QUOTATION = (
+    rf"((?:^|[\n.!?؟।。！？][”’»」]?){WS}*[“«「『\"][^“”«»「」\n\"]{{1,400}}?)(?:{_TERMS}|{_EAST})(?=[”»」』\"]{WS}?\p{{Lo}})"
+)
+UNCASED = r"[֐-ࣿऀ-࿿぀-ヿ㐀-鿿]"
+#: Where a unit ends: after terminators and what closes with them, before blank lines and list items, at Thai spaces.
+BREAKS = (
+    r"(?=[.!?…؟۔।॥;;。！？｡\n \t])(?:"
+    rf"({_TERMS}+{_CLOSERS}){_NEXT}|([;;](?<=\p{{IsGreek}}[;;]){_CLOSERS})(?={WS}+[\p{{Lu}}«“])|({_EAST}+[」』”’）》】)]*)(?!と)"
+    rf"|(?=\n[ \t]*\n)|(?=\n[ \t]*(?:[-*•‣◦·–—][ \t]|\p{{N}}{{1,3}}[{POINT})][ \t]))|(?<={_THAI})(?=[ \t]+{_THAI}))"
+)
+#: In a text all in small letters the case of what follows tells nothing.
+SMALL_POINTS = rf"\.(?={WS}+\p{{Ll}})(?<=(?<![\p{{L}}\p{{N}}\p{{M}}])(?:{'|'.join((*OPEN_ENDED, *(x.lower() for x in BEFORE_NAMES if len(x) > 1)))})\.)"
+SMALL_BREAKS = rf"([.!?]+)(?={WS}+[\p{{Ll}}])"
+_BLANK = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0               　"
+
+
+def with_spans(rows: DataFrame, text: str, spans: str) -> DataFrame:
+    """``rows`` with an array of (start_char, end_char): code points from 0, the end exclusive. What is used twice is a
+    column of its own, so that it is computed once."""
+    rows = rows.withColumn("_small", ~F.col(text).rlike(r"\p{Lu}") & F.col(text).rlike(r"\p{Ll}"))
+    masked = F.regexp_replace(F.translate(text, "\r", "??? "), POINTS, POINT)
+    rows = rows.withColumn("_masked", F.when(F.col(text).rlike(UNCASED), F.regexp_replace(masked, QUOTATION, "$1")).otherwise(masked))
+    marked = F.regexp_replace("_masked", BREAKS, f"$1$2$3{MARK}")
+    small = F.regexp_replace(F.regexp_replace(F.col("_masked"), SMALL_POINTS, POINT), SMALL_BREAKS, f"$1{MARK}")
+    marked = F.when(F.col("_small"), F.regexp_replace(small, BREAKS, f"$1$2$3{MARK}")).otherwise(marked)
     sizes = F.transform(
-        parts,
-        lambda x: F.struct(
-            F.length(x).alias("whole"),
-            F.length(F.ltrim(x, F.lit(blank.encode().decode("unicode_escape")))).alias("left"),
-            F.length(F.rtrim(x, F.lit(blank.encode().decode("unicode_escape")))).alias("right"),
-        ),
+        F.split(marked, MARK),
+        lambda x: F.struct(F.length(x).alias("whole"), F.length(F.ltrim(x, F.lit(_BLANK))).alias("left"), F.length(F.rtrim(x, F.lit(_BLANK))).alias("right")),
     )
+    rows = rows.withColumn("_sizes", sizes)
     starts = F.aggregate(
-        sizes,
+        "_sizes",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
         lambda a, x: F.struct((a["at"] + x["whole"]).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")),
         lambda a: a["starts"],
     )
-    spans = F.zip_with(
-        sizes,
-        starts,
-        lambda x, at: F.struct((at + x["whole"] - x["left"]).alias("start_char"), (at + x["right"]).alias("end_char")),
-    )
-    return F.filter(spans, lambda s: s["end_char"] > s["start_char"])
+    rows = rows.withColumn("_starts", starts)
+    own = F.zip_with("_sizes", "_starts", lambda x, at: F.struct((at + x["whole"] - x["left"]).alias("start_char"), (at + x["right"]).alias("end_char")))
+    return rows.withColumn(spans, F.filter(own, lambda s: s["end_char"] > s["start_char"])).drop("_small", "_masked", "_sizes", "_starts")
 
 
 def sentence_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,7 +109,7 @@ def sentence_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     with a null id are left out.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return own.select("id", F.inline(unit_spans(F.col("text"))))
+    return with_spans(own, "text", "spans").select("id", F.inline("spans"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +119,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The units with their text, cut from the original."""
     own = table(spark, sf_dir, "documents").filter("doc_id is not null and text is not null")
-    rows = own.select("doc_id", "text", F.inline(unit_spans(F.col("text"))))
+    rows = with_spans(own.select("doc_id", "text"), "text", "spans").select("doc_id", "text", F.inline("spans"))
     return rows.select("doc_id", "start_char", F.expr("substring(text, start_char + 1, end_char - start_char)").alias("unit"))
 
 
