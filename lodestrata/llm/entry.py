@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["encodings", "error_pages", "leakage", "near_duplicates", "packing", "page_template", "repeated_lines", "sentences"]
+MODULES = ["encodings", "error_pages", "leakage", "near_duplicates", "packing", "page_template", "repeated_lines", "scanned_pages", "sentences"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
