@@ -64,13 +64,15 @@ POINTS = (
 QUOTATION = (
     rf"((?:^|[\n.!?؟।。！？][”’»」]?){WS}*[“«「『\"][^“”«»「」\n\"]{{1,400}}?)(?:{_TERMS}|{_EAST})(?=[”»」』\"]{WS}?\p{{Lo}})"
 )
-UNCASED = r"[֐-ࣿऀ-࿿぀-ヿ㐀-鿿]"
 #: Where a unit ends: after terminators and what closes with them, before blank lines and list items, at Thai spaces.
 BREAKS = (
     r"(?=[.!?…؟۔।॥;;。！？｡\n \t])(?:"
     rf"({_TERMS}+{_CLOSERS}){_NEXT}|([;;](?<=\p{{IsGreek}}[;;]){_CLOSERS})(?={WS}+[\p{{Lu}}«“])|({_EAST}+[」』”’）》】)]*)(?!と)"
     rf"|(?=\n[ \t]*\n)|(?=\n[ \t]*(?:[-*•‣◦·–—][ \t]|\p{{N}}{{1,3}}[{POINT})][ \t]))|(?<={_THAI})(?=[ \t]+{_THAI}))"
 )
+#: The same for texts in Latin or Cyrillic letters only, which is most of them: the classes of characters are smaller.
+SIMPLE_BREAKS = rf"([.!?…]+{_CLOSERS}){_NEXT}|(?=\n)(?:(?=\n[ \t]*\n)|(?=\n[ \t]*(?:[-*•‣◦·–—][ \t]|\p{{N}}{{1,3}}[{POINT})][ \t])))"
+OTHER_SCRIPTS = r"[\u0370-\u03ff\u0590-\u1fff\u2c00-\ud7ff\uf900-\uffef]"
 #: In a text all in small letters the case of what follows tells nothing.
 SMALL_POINTS = rf"\.(?={WS}+\p{{Ll}})(?<=(?<![\p{{L}}\p{{N}}\p{{M}}])(?:{'|'.join((*OPEN_ENDED, *(x.lower() for x in BEFORE_NAMES if len(x) > 1)))})\.)"
 SMALL_BREAKS = rf"([.!?]+)(?={WS}+[\p{{Ll}}])"
@@ -81,11 +83,14 @@ def with_spans(rows: DataFrame, text: str, spans: str) -> DataFrame:
     """``rows`` with an array of (start_char, end_char): code points from 0, the end exclusive. What is used twice is a
     column of its own, so that it is computed once."""
     rows = rows.withColumn("_small", ~F.col(text).rlike(r"\p{Lu}") & F.col(text).rlike(r"\p{Ll}"))
-    masked = F.regexp_replace(F.translate(text, "\r", "??? "), POINTS, POINT)
-    rows = rows.withColumn("_masked", F.when(F.col(text).rlike(UNCASED), F.regexp_replace(masked, QUOTATION, "$1")).otherwise(masked))
-    marked = F.regexp_replace("_masked", BREAKS, f"$1$2$3{MARK}")
-    small = F.regexp_replace(F.regexp_replace(F.col("_masked"), SMALL_POINTS, POINT), SMALL_BREAKS, f"$1{MARK}")
-    marked = F.when(F.col("_small"), F.regexp_replace(small, BREAKS, f"$1$2$3{MARK}")).otherwise(marked)
+    rows = rows.withColumn("_other", F.col(text).rlike(OTHER_SCRIPTS))
+    own = F.when(F.col(text).rlike("[\ue000-\ue010\r]"), F.translate(text, "\ue000\ue001\ue010\r", "??? ")).otherwise(F.col(text))
+    masked = F.regexp_replace(own, POINTS, POINT)
+    masked = F.when(F.col("_other"), F.regexp_replace(masked, QUOTATION, "$1\ue001")).otherwise(masked)
+    small = F.regexp_replace(F.regexp_replace(masked, SMALL_POINTS, POINT), SMALL_BREAKS, f"$1{MARK}")
+    rows = rows.withColumn("_masked", F.when(F.col("_small"), small).otherwise(masked))
+    full = F.regexp_replace("_masked", BREAKS, f"$1$2$3{MARK}")
+    marked = F.when(F.col("_other"), full).otherwise(F.regexp_replace("_masked", SIMPLE_BREAKS, f"$1{MARK}"))
     sizes = F.transform(
         F.split(marked, MARK),
         lambda x: F.struct(F.length(x).alias("whole"), F.length(F.ltrim(x, F.lit(_BLANK))).alias("left"), F.length(F.rtrim(x, F.lit(_BLANK))).alias("right")),
@@ -99,7 +104,7 @@ def with_spans(rows: DataFrame, text: str, spans: str) -> DataFrame:
     )
     rows = rows.withColumn("_starts", starts)
     own = F.zip_with("_sizes", "_starts", lambda x, at: F.struct((at + x["whole"] - x["left"]).alias("start_char"), (at + x["right"]).alias("end_char")))
-    return rows.withColumn(spans, F.filter(own, lambda s: s["end_char"] > s["start_char"])).drop("_small", "_masked", "_sizes", "_starts")
+    return rows.withColumn(spans, F.filter(own, lambda s: s["end_char"] > s["start_char"])).drop("_small", "_other", "_masked", "_sizes", "_starts")
 
 
 def sentence_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,7 +114,8 @@ def sentence_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     with a null id are left out.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return with_spans(own, "text", "spans").select("id", F.inline("spans"))
+    # the outer form, as the optimizer would else put a filter on the array below and compute all of it once more for that
+    return with_spans(own, "text", "spans").select("id", F.inline_outer("spans")).filter("start_char is not null")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +125,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The units with their text, cut from the original."""
     own = table(spark, sf_dir, "documents").filter("doc_id is not null and text is not null")
-    rows = with_spans(own.select("doc_id", "text"), "text", "spans").select("doc_id", "text", F.inline("spans"))
+    rows = with_spans(own.select("doc_id", "text"), "text", "spans").select("doc_id", "text", F.inline_outer("spans")).filter("start_char is not null")
     return rows.select("doc_id", "start_char", F.expr("substring(text, start_char + 1, end_char - start_char)").alias("unit"))
 
 
