@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lodestrata.functions.urls import is_pdf_path, resolve
 
@@ -44,7 +45,7 @@ def decode_entities(text: str | None) -> str | None:
     return _entity.sub(one, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def entities(text: pd.Series) -> pd.Series:
     return text.map(decode_entities)
 
@@ -148,12 +149,12 @@ def links_of(base: str | None, html: str | None, pdf_only: bool = False) -> list
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def links(base: pd.Series, html: pd.Series) -> pd.Series:
     return pd.Series([links_of(b, h) for b, h in zip(base, html, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def pdf_links(base: pd.Series, html: pd.Series) -> pd.Series:
     return pd.Series([links_of(b, h, True) for b, h in zip(base, html, strict=True)])
 
@@ -186,7 +187,7 @@ def parse_rmeta(text: str | None) -> tuple[str | None, str]:
     return title, "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def xhtml_text(xhtml: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in xhtml:
         yield part.map(xhtml_to_text)

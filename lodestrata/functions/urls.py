@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, quote_plus, unquote_plus, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)(?::[0-9]*)?(?:[/?#]|$)"
 
@@ -109,7 +110,7 @@ def canonical(url: str | None) -> str | None:
     return f"{u.scheme}://{u.hostname.rstrip('.')}{port}{u.path or '/'}" + (f"?{query}" if query else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonicalize(url: pd.Series) -> pd.Series:
     return url.map(canonical)
 
