@@ -26,7 +26,7 @@ def pad(ts: Column) -> Column:
 def distance(a: Column, b: Column, metric: str = "digits") -> Column:
     """Between two 14-digit timestamps: as numbers, or in seconds."""
     if metric == "digits":
-        return F.abs(a.cast("bigint") - b.cast("bigint"))
+        return F.abs(a.try_cast("bigint") - b.try_cast("bigint"))
     return F.abs(F.unix_timestamp(parse(a)) - F.unix_timestamp(parse(b)))
 
 

@@ -45,7 +45,7 @@ def closest_each(probes: DataFrame, captures: DataFrame, metric: str = "digits")
     one row for each probe and combines before the shuffle.
     """
     own = captures.groupBy("surt_url", "timestamp").agg(F.min(F.struct("s3_key", "offset", "status")).alias("c"))
-    joined = probes.join(own, "surt_url").withColumn("distance", ts.distance(F.col("timestamp"), F.col("at"), metric)).filter("distance is not null")
+    joined = probes.select("probe_id", "surt_url", "at").join(own, "surt_url").withColumn("distance", ts.distance(F.col("timestamp"), F.col("at"), metric)).filter("distance is not null")
     best = joined.groupBy("probe_id").agg(F.min(F.struct("distance", "timestamp", "c.s3_key", "c.offset", "c.status")).alias("b"))
     return best.select("probe_id", "b.*")
 

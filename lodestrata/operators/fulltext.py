@@ -143,7 +143,8 @@ def build(docs: DataFrame, id_col: str, terms: list[str] | None = None) -> Index
 
     Positions count the dropped long tokens. Null fields are empty; rows with a null id are left out.
     """
-    own = docs.filter(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "id")
+    own = docs if id_col == "id" else docs.drop("id").withColumnRenamed(id_col, "id")
+    own = own.filter(F.col("id").isNotNull())
     split = own.select("id", *[tokens(F.col(f)).alias(f) for f in TEXT_FIELDS])
     short = lambda c: F.size(F.filter(c, lambda t: F.octet_length(t) < MAX_TOKEN_BYTES))
     lengths = split.select("id", *[short(F.col(f)).alias(f"{f}_len") for f in TEXT_FIELDS])
