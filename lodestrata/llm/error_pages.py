@@ -36,7 +36,7 @@ TELLING, ERROR = 1.0, 2.0
 #: Syntax of unfilled placeholders, as whole lines (fixed values).
 PLACEHOLDERS = (
     r"\{\{.*\}\}", r"\{%.*%\}", r"<%.*%>", r"<\?php.*\?>", r"\$\{.*\}", r"#\{.*\}", r"%%\w+%%", r"@@\w+@@", r"__\w+__", r"\[\[.*\]\]",
-    r":\w+:", r"[A-Z]+(_[A-Z]+)*_PLACEHOLDER", r"lorem ipsum.*", r"undefined", r"NaN", r"null",
+    r":\w+:", r"[A-Z_]{1,80}_PLACEHOLDER", r"lorem ipsum.*", r"undefined", r"NaN", r"null",
 )
 _placeholder = re.compile("(?:" + "|".join(PLACEHOLDERS) + ")", re.I).fullmatch
 
@@ -112,7 +112,8 @@ def _sampled(rows: DataFrame, size: int) -> list[str]:
 
 def fit_from(docs: DataFrame, errors: DataFrame) -> Model:
     """The model from docs (id, body) and errors (id), the ids of captures with an error status."""
-    own = docs.filter("id is not null and body is not null")
+    own = docs.select("id", "body").filter("id is not null and body is not null")
+    errors = errors.select("id")
     own = own.withColumn("placeholder", F.col("body").rlike("(?m)^[ \\t]*(?:" + "|".join(PLACEHOLDERS) + ")[ \\t]*$"))
     own = own.withColumn("long", F.col("body").rlike("(?m)^.{%d}" % LONG))
     marked = own.join(errors.distinct().withColumn("error", F.lit(True)), "id", "left")

@@ -341,3 +341,12 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+
+SQL = {
+    "p2_found": f"""
+with t as (select rec_id, list_filter(regexp_split_to_array(lower(body), '[ \\t\\r\\n]+'), lambda x: x <> '') w from index_docs),
+g as (select distinct rec_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select rec_id, w, unnest(range(1, len(w) - 1)) i from t where len(w) >= {MIN_TOKENS})),
+n as (select rec_id, count(*) n from g group by 1),
+c as (select a.rec_id x, b.rec_id y, count(*) c from g a join g b on a.s = b.s and a.rec_id < b.rec_id group by 1, 2)
+select x as rec_id_a, y as rec_id_b from c join n p on p.rec_id = x join n q on q.rec_id = y where c >= {THRESHOLD} * (p.n + q.n - c)"""
+}

@@ -37,7 +37,7 @@ OPEN_ENDED = ("etc", "usw", "др", "dgl", "ltd", "inc", "co", "и т")
 WS = r"[\s   -     　]"
 POINT, MARK = "\ue000", "\ue010"
 _TERMS = r"[.!?…؟۔।॥]"
-_CLOSERS = rf"(?:[”’»\"')\]›]|“(?={WS}|[,;:]|$)|{WS}[»”›](?={WS}|[,;:.]|$))*"
+_CLOSERS = rf"(?:[”’»\"')\]›]|“(?={WS}|[,;:]|$)|{WS}[»”›](?={WS}|[,;:.]|$)){{0,12}}"
 _OPEN = r"[“„«‘‚\"'‹]"
 _NEXT = (
     rf"(?={WS}+(?:[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}¿¡]|{_OPEN}{WS}?[\p{{L}}\p{{N}}¿¡]"
