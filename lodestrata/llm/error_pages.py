@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.line_features import SIZE, LineHasher, score
-from lodestrata.store import table
+from lodestrata.store import materialize, table
 
 #: At most so many trusted, bare and other records are used to fit the model.
 SAMPLE_TRUSTED, SAMPLE_BARE, SAMPLE_REST = 4_000, 4_000, 6_000
@@ -104,22 +104,29 @@ def fit(trusted: list[str], bare: list[str], rest: list[str]) -> Model:
     return model
 
 
-def _sampled(rows: DataFrame, size: int) -> list[str]:
-    """The bodies with the least hashes of their ids; ids are chosen first, so that no task sends more bodies."""
-    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(size)
-    return [x[0] for x in rows.join(F.broadcast(chosen), "id", "left_semi").select("body").limit(size).collect()]
-
-
 def fit_from(docs: DataFrame, errors: DataFrame) -> Model:
-    """The model from docs (id, body) and errors (id), the ids of captures with an error status."""
+    """The model from docs (id, body) and errors (id), the ids of captures with an error status.
+
+    Records are marked and chosen (by the least hashes of their ids) without their bodies, which are read for the chosen ones
+    only.
+    """
     own = docs.select("id", "body").filter("id is not null and body is not null")
-    errors = errors.select("id")
-    own = own.withColumn("placeholder", F.col("body").rlike("(?m)^[ \\t]*(?:" + "|".join(PLACEHOLDERS) + ")[ \\t]*$"))
-    own = own.withColumn("long", F.col("body").rlike("(?m)^.{%d}" % LONG))
-    marked = own.join(errors.distinct().withColumn("error", F.lit(True)), "id", "left")
-    trusted = _sampled(marked.filter("error or placeholder"), SAMPLE_TRUSTED)
-    bare = _sampled(marked.filter("error is null and not placeholder and not long"), SAMPLE_BARE)
-    return fit(trusted, bare, _sampled(marked.filter("error is null and not placeholder and long"), SAMPLE_REST))
+    marks = own.select(
+        "id",
+        F.col("body").rlike("(?m)^[ \\t]*(?:" + "|".join(PLACEHOLDERS) + ")[ \\t]*$").alias("placeholder"),
+        F.col("body").rlike("(?m)^.{%d}" % LONG).alias("long"),
+    )
+    marks = materialize(marks.join(errors.select("id").distinct().withColumn("error", F.lit(True)), "id", "left"), "marks")
+    trusted = F.coalesce("error", F.lit(False)) | F.col("placeholder")
+    kinds = (("trusted", trusted, SAMPLE_TRUSTED), ("bare", ~trusted & ~F.col("long"), SAMPLE_BARE), ("rest", ~trusted & F.col("long"), SAMPLE_REST))
+    chosen = None
+    for kind, condition, size in kinds:
+        part = marks.filter(condition).select("id", F.lit(kind).alias("kind")).orderBy(F.xxhash64("id"), "id").limit(size)
+        chosen = part if chosen is None else chosen.union(part)
+    bodies: dict[str, list[str]] = {kind: [] for kind, _, _ in kinds}
+    for kind, body in own.join(F.broadcast(chosen.distinct()), "id").select("kind", "body").limit(2 * (SAMPLE_TRUSTED + SAMPLE_BARE + SAMPLE_REST)).collect():
+        bodies[kind].append(body)
+    return fit(*(sorted(bodies[kind]) for kind, _, _ in kinds))
 
 
 def _scorer(weights: np.ndarray):
