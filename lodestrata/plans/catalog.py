@@ -18,7 +18,7 @@ from lodestrata.operators import fulltext as ft
 from lodestrata.operators import links as ln
 from lodestrata.operators import statistics as st
 from lodestrata.operators import upsert as up
-from lodestrata.store import table
+from lodestrata.store import materialize, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -506,6 +506,8 @@ def file_provenance(spark, d):
 def _search(spark, d, q: str, limit: int = 50, **more) -> DataFrame:
     tree = ft.parse(q)
     index = ft.build(_docs(spark, d), "rec_id", ft.query_terms(tree))
+    if tree is not None:  # the query's postings and the lengths are used several times, the texts are cut into words once
+        index = ft.Index(materialize(index.postings, "postings"), materialize(index.lengths, "lengths"), index.docs)
     return ft.search(index, q, limit, **more)
 
 
