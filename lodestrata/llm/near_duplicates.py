@@ -8,6 +8,10 @@ taken, and values in many texts (site furniture, stock phrases) fall out of the
 a cap. A meeting is kept if fingerprints carried in the lists agree often enough, then by the estimate over the
 union's sketch, then by the exact Jaccard similarity of the two texts.
 
+A text of no more than ``SKETCH`` distinct shingles is its own sketch. It shares at least ``THRESHOLD`` of its shingles
+with a similar text, which are fewer than ``OVERLAP`` if it is repetitive, so its lists are longer by as much; its
+fingerprints have too few bytes to tell anything and are not asked.
+
 Texts with the same tokens are one class from the start; only its representative takes part.
 """
 
@@ -150,8 +154,7 @@ def _rarest(held: tuple[np.ndarray, np.ndarray]):
                 often[hit] = counts[at[hit]]
             order = np.lexsort((v, often, row))
             place = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            # a sketch shorter than SKETCH stands for the whole text
-            keep = order[place < np.repeat(np.maximum(sizes - OVERLAP + 1, 1), sizes)]
+            keep = order[place < np.repeat(sizes - np.minimum(np.ceil(THRESHOLD * sizes).astype(np.int64), OVERLAP) + 1, sizes)]
             take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v[keep]), batch.column("id").take(take), batch.column("n").take(take), batch.column("prints").take(take)],
@@ -169,8 +172,9 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = left[ok], right[ok]
         got = []
         for at in range(0, len(left), 200_000):
-            x, y = prints[left[at : at + 200_000]], prints[right[at : at + 200_000]]
-            got.append(((x == y) & (x > 0)).sum(1) >= AGREE)
+            i, j = left[at : at + 200_000], right[at : at + 200_000]
+            x, y = prints[i], prints[j]
+            got.append((((x == y) & (x > 0)).sum(1) >= AGREE) | (np.minimum(n[i], n[j]) <= SKETCH))
         if not got or not (ok := np.concatenate(got)).any():
             return None
         a, b = ids[left[ok]], ids[right[ok]]
@@ -251,7 +255,7 @@ def _lists(distinct: DataFrame) -> DataFrame:
         .join(counts, "v", "left")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("often"), "v"))).alias("all"))
-        .select("id", F.explode(F.expr(f"slice(all, 1, greatest(size(all) - {OVERLAP} + 1, 1))")).alias("x"))
+        .select("id", F.explode(F.expr(f"slice(all, 1, size(all) - least({OVERLAP}, cast(ceil({THRESHOLD} * size(all)) as int)) + 1)")).alias("x"))
         .select("id", F.col("x.v").alias("v"))
     )
     return ranked.join(distinct.select("id", "n", "prints"), "id").select("v", "id", "n", "prints")
