@@ -25,6 +25,9 @@ from lodestrata.store import materialize, table
 VOCABULARY, PAIRS = 150_000, 150_000
 #: A word that comes this often is known; one this many times rarer than a likely reading is taken for misread.
 KNOWN, DOMINATED = 3, 15
+#: In large corpora a word is known by its share of all words, and letters are odd by their share of the known words, so
+#: that misread forms, whose numbers grow with the corpus, do not become known.
+KNOWN_SHARE, ODD_SHARE = 8e-5, 0.002
 #: Characters that scanning takes for each other: as read, as printed (fixed values).
 CONFUSED = (
     ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("l", "i"), ("i", "l"), ("5", "s"), ("6", "é"), ("6", "b"), ("8", "B"), ("9", "g"), ("(", "c"), ("c", "e"), ("e", "c"),
@@ -56,22 +59,36 @@ class Trie:
 
     def within(self, word: str, edits: int) -> list[tuple[str, int]]:
         """All words within so many insertions, deletions and substitutions: the automaton's states are rows of the
-        distance table, cut off where no entry is within the bound, and walk along the trie."""
+        distance table, cut off where no entry is within the bound, and walk along the trie. Of a row only the entries
+        that can be within the bound are computed; where all edits are used up only the word's own letters go on."""
         out: list[tuple[str, int]] = []
-        n = len(word)
-        stack = [(self.root, list(range(n + 1)))]
+        n, far = len(word), edits + 1
+        stack = [(self.root, 0, list(range(n + 1)))]
         while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if not c:
-                    if row[n] <= edits:
-                        out.append((child, row[n]))
+            node, depth, row = stack.pop()
+            if "" in node and row[n] <= edits:
+                out.append((node[""], row[n]))
+            if min(row) == edits:
+                letters = {word[k] for k in range(n) if row[k] == edits}
+            else:
+                letters = node
+            depth += 1
+            first, end = max(0, depth - edits), min(n, depth + edits) + 1
+            for c in letters:
+                child = node.get(c) if c else None
+                if child is None:
                     continue
-                new = [row[0] + 1]
-                for k in range(n):
-                    new.append(min(row[k] + (word[k] != c), row[k + 1] + 1, new[k] + 1))
-                if min(new) <= edits:
-                    stack.append((child, new))
+                new, last, least = [far] * (n + 1), far, far
+                for k in range(first, end):
+                    x = row[k] + 1
+                    if k:
+                        y = row[k - 1] if word[k - 1] == c else row[k - 1] + 1
+                        x = y if y < x else x
+                        x = last + 1 if last + 1 < x else x
+                    new[k] = last = x
+                    least = x if x < least else least
+                if least <= edits:
+                    stack.append((child, depth, new))
         return out
 
 
@@ -84,19 +101,42 @@ class Lexicon:
             if "-" in w:
                 for part in w.split("-"):
                     self.words[part] = self.words.get(part, 0) + n
-        self.trie = Trie([w for w, n in words.items() if n >= KNOWN])
-        self.grams: Counter = Counter()
-        for w, n in words.items():
-            if n >= KNOWN:
-                low = f"^{w.lower()}$"
-                self.grams.update({low[k : k + 3] for k in range(len(low) - 2)})
+        self.known = max(KNOWN, KNOWN_SHARE * sum(words.values()))
+        self.tries: dict[int, Trie] = {}
+        good = [w for w, n in words.items() if n >= self.known and not self.dominating(w)]
+        self.grams, self.rare = self.counted(good), max(1, ODD_SHARE * len(good))
+        self.seen = self.counted([w for w, n in words.items() if n >= KNOWN])
         self.hyphened = {w for w in words if "-" in w}
         self.fixed: dict[str, list[tuple[str, float]]] = {}
 
+    @staticmethod
+    def parts(word: str) -> set[str]:
+        low = f"^{word.lower()}$"
+        return {low[k : k + 3] for k in range(len(low) - 2)} if word else set()
+
+    def counted(self, words: list[str]) -> Counter:
+        return Counter(g for w in words for g in self.parts(w))
+
     def odd(self, word: str) -> bool:
         """Whether its letters follow each other as in hardly any common word."""
-        low = f"^{word.lower()}$"
-        return min(self.grams[low[k : k + 3]] for k in range(len(low) - 2)) <= 1 if len(low) > 3 else False
+        return len(word) > 1 and min(self.grams[g] for g in self.parts(word)) <= self.rare
+
+    def possible(self, word: str) -> bool:
+        """Whether its letters follow each other as in some words: all that a name can be asked for."""
+        return len(word) < 2 or min(self.seen[g] for g in self.parts(word)) > 1
+
+    def dominating(self, word: str) -> list[str]:
+        """The words one confusion away that come DOMINATED times as often."""
+        least = DOMINATED * max(self.words.get(word, 0), 1)
+        return [c for c in self.swaps(word) if self.words.get(c, 0) >= least]
+
+    def within(self, word: str, edits: int, least: int) -> list[tuple[str, int]]:
+        """All words within so many edits that come at least so often. There is a trie for each power of two times
+        DOMINATED, below which no word is a reading of another, so that frequent words are looked up among few."""
+        level = max(least // DOMINATED, 1).bit_length() - 1
+        if level not in self.tries:
+            self.tries[level] = Trie([w for w, n in self.words.items() if n >= DOMINATED << level])
+        return [(c, e) for c, e in self.tries[level].within(word, edits) if self.words[c] >= least]
 
     def swaps(self, word: str) -> set[str]:
         """The word with one confusion of scanning undone."""
@@ -114,17 +154,15 @@ class Lexicon:
         """Likelier words for a word that may be misread, with their weights; none if it is good."""
         if word not in self.fixed:
             own = max(self.words.get(word, 0), 1)
-            swaps = self.swaps(word)
-            found = [(c, float(np.log(self.words[c]))) for c in swaps if self.words.get(c, 0) >= DOMINATED * own]
+            found = [(c, float(np.log(self.words[c]))) for c in self.dominating(word)]
             plain = word.replace("’", "").replace("-", "").replace("'", "").isalpha()
-            if not found and (not plain or (own < KNOWN and self.odd(word))):
+            if not found and (not plain or (own < self.known and self.odd(word))):
                 bound = 1 if len(word) < 7 else 2
-                for c, edits in self.trie.within(word, bound):
-                    if self.words[c] >= own * DOMINATED * (1 if not plain else 2):
-                        found.append((c, float(np.log(self.words[c])) - 3.0 * edits))
+                for c, edits in self.within(word, bound, own * DOMINATED * (1 if not plain else 2)):
+                    found.append((c, float(np.log(self.words[c])) - 3.0 * edits))
                 # no word is near, but what scanning confuses makes it one by its letters: a name
                 if not found and not plain:
-                    found = [(c, -6.0) for c in swaps if c.isalpha() and not self.odd(c)]
+                    found = [(c, -6.0) for c in self.swaps(word) if c.isalpha() and self.possible(c)]
             if len(self.fixed) > 300_000:
                 self.fixed.clear()
             self.fixed[word] = sorted(found, key=lambda x: (-x[1], x[0]))
