@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from lodestrata.store import materialize, table
 
-#: The commonest words and pairs of words that are kept.
-VOCABULARY, PAIRS = 150_000, 150_000
 #: A word that comes this often is known; one this many times rarer than a likely reading is taken for misread.
 KNOWN, DOMINATED = 3, 15
 #: In large corpora a word is known by its share of all words, and letters are odd by their share of the known words, so
@@ -377,12 +375,13 @@ def judge(lexicon: Lexicon, title: str, body: str) -> tuple[list[tuple[int, str]
 
 
 def lexicon_of(docs: DataFrame) -> Lexicon:
-    """From docs (body, title): counted over all texts; words and pairs of which the commonest are kept."""
+    """From docs (body, title): counted over all texts; every word that comes twice and every pair that comes three times. A word
+    that comes once can be no reading of another, and counts as one where it is missing."""
     flat = F.regexp_replace(F.concat_ws("\n\n", "title", "body"), r"[-‐¬=­][ \t]*[\n\f]+\s*(?=\p{Ll})", "")
     # split and trimmed: a pattern that repeats a group would recurse on very long words
     words = F.filter(F.transform(F.split(flat, r"[^\p{L}’'-]+"), lambda w: F.btrim(w, F.lit("’'-"))), lambda w: w != "")
     tokens = materialize(docs.select(words.alias("w")).filter(F.size("w") > 0), "words")
-    counts = tokens.select(F.explode("w").alias("w")).groupBy("w").count().filter(F.col("count") >= 2).orderBy(F.desc("count"), "w").limit(VOCABULARY)
+    counts = tokens.select(F.explode("w").alias("w")).groupBy("w").count().filter(F.col("count") >= 2)
     pairs = (
         tokens.select(F.explode(F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> struct(get(w, i - 1) as a, get(w, i) as b))")).alias("p"))
         .select("p.*")
@@ -390,8 +389,6 @@ def lexicon_of(docs: DataFrame) -> Lexicon:
         .groupBy("a", "b")
         .count()
         .filter(F.col("count") >= 3)
-        .orderBy(F.desc("count"), "a", "b")
-        .limit(PAIRS)
     )
     return Lexicon({r[0]: r[1] for r in counts.toLocalIterator()}, {(r[0], r[1]): r[2] for r in pairs.toLocalIterator()})
 
