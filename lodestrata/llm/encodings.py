@@ -42,7 +42,7 @@ SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "m
 LETTER_WORDS = frozenset("àÀóÓaAyYиИвВсСоОкКуУяЯаА")
 
 _space = re.compile("[ \t\r\n]+")
-_reference = re.compile(r"&#(\d{2,5});")
+_reference = re.compile(r"&#(?:[xX]([0-9a-fA-F]{1,6})|(\d{1,7}));")
 LOST = "�"
 
 
@@ -183,13 +183,12 @@ class Model:
             starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
             likely = np.add.reduceat(self.weights[f], starts, axis=0)
             size = np.diff(np.r_[starts, len(f)])
-            best = np.argsort(-likely[:, 1:], axis=1)[:, :8] + 1
+            best = np.argsort(-likely[:, 1:], axis=1) + 1
+            enough = likely - likely[:, :1] >= np.where(UTF8, MARGIN_UTF8, MARGIN)
             ask: list[tuple[int, int, str]] = []
             for k, w in enumerate(part):
                 out[w] = (w, 0, 0.0, "")
-                for c in best[k].tolist():
-                    if likely[k, c] - likely[k, 0] < (MARGIN_UTF8 if UTF8[c] else MARGIN):
-                        continue
+                for c in best[k][enough[k][best[k]]].tolist():  # every chain that is likely enough, the likeliest first
                     fixed = restore(w, CHAINS[c - 1])
                     if fixed is not None and fixed != w and fixed.isprintable() and (UTF8[c] or (_alike(w, fixed) and self.counts[core(w)] <= max(2, self.counts[core(fixed)]))):
                         ask.append((k, c, fixed))
@@ -213,9 +212,14 @@ def odd_words(text: str) -> list[str]:
     return [w for w in _space.split(text) if not w.isascii() or "&#" in w]
 
 
+def _referred(m: re.Match) -> str:
+    code = int(m[1], 16) if m[1] else int(m[2])
+    return chr(code) if 0 < code < 0xD800 or 0xE000 <= code <= 0x10FFFF else m[0]
+
+
 def plain(word: str) -> str:
-    """The word with its numeric character references resolved."""
-    return _reference.sub(lambda m: chr(int(m[1])) if int(m[1]) < 0xD800 else m[0], word) if "&#" in word else word
+    """The word with its numeric character references, decimal or hexadecimal, resolved."""
+    return _reference.sub(_referred, word) if "&#" in word else word
 
 
 def is_word(fixed: str) -> bool:

@@ -31,7 +31,7 @@ from lodestrata.store import materialize, table
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Texts in a batch (on average), islands, epochs, and within an epoch the solutions and generations of an island.
-BATCH, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 12_000, 2, 2, 4, 30
+BATCH, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 12_000, 2, 2, 4, 15
 #: Share of a parent's containers that a crossover injects, of the containers with space that a mutation empties, and of a
 #: batch's containers that the next round opens.
 INJECTED, EMPTIED, OPENED = 0.12, 0.5, 0.1

@@ -8,7 +8,9 @@ whole characters, the units' places are sums of lengths, and the original text i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.store import table
@@ -37,7 +39,8 @@ OPEN_ENDED = ("etc", "usw", "др", "dgl", "ltd", "inc", "co", "и т")
 WS = r"[\s   -     　]"
 POINT, MARK = "\ue000", "\ue010"
 _TERMS = r"[.!?…؟۔।॥]"
-_CLOSERS = rf"(?:[”’»\"')\]›]|“(?={WS}|[,;:]|$)|{WS}[»”›](?={WS}|[,;:.]|$)){{0,12}}"
+#: Any number of closing marks; among them up to twelve that could open as well, or stand apart.
+_CLOSERS = rf"[”’»\"')\]›]*+(?:(?:“(?={WS}|[,;:]|$)|{WS}[»”›](?={WS}|[,;:.]|$))[”’»\"')\]›]*+){{0,12}}"
 _OPEN = r"[“„«‘‚\"'‹]"
 _NEXT = (
     rf"(?={WS}+(?:[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}¿¡]|{_OPEN}{WS}?[\p{{L}}\p{{N}}¿¡]"
@@ -62,8 +65,12 @@ POINTS = (
 )
 #: A quotation that begins a sentence, in scripts without case: its attribution follows.
 QUOTATION = (
-    rf"((?:^|[\n.!?؟।。！？][”’»」]?){WS}*[“«「『\"][^“”«»「」\n\"]{{1,400}}?)(?:{_TERMS}|{_EAST})(?=[”»」』\"]{WS}?\p{{Lo}})"
+    rf"((?:^|[\n.!?؟।。！？][”’»」]?){WS}*(?:[“«\"][^“”«»\n\"]++(?=[”»\"]{WS}?\p{{Lo}})|「[^「」\n]++(?=」{WS}?\p{{Lo}})|『[^『』\n]++(?=』{WS}?\p{{Lo}})))(?<={_TERMS}|{_EAST})"
 )
+#: Its terminator is marked first and then replaced, so that a quotation may be of any length.
+QUOTED = rf"(?:{_TERMS}|{_EAST})\ue002"
+#: A list item's number far to the right, which the lookbehind of POINTS does not reach.
+FAR_ITEMS = r"((?:^|\n)[ \t]{9,}+\p{N}{1,3})\.(?=[ \t])"
 #: Where a unit ends: after terminators and what closes with them, before blank lines and list items, at Thai spaces.
 BREAKS = (
     r"(?=[.!?…؟۔।॥;;。！？｡\n \t])(?:"
@@ -76,6 +83,8 @@ OTHER_SCRIPTS = r"[\u0370-\u03ff\u0590-\u1fff\u2c00-\ud7ff\uf900-\uffef]"
 #: In a text all in small letters the case of what follows tells nothing.
 SMALL_POINTS = rf"\.(?={WS}+\p{{Ll}})(?<=(?<![\p{{L}}\p{{N}}\p{{M}}])(?:{'|'.join((*OPEN_ENDED, *(x.lower() for x in BEFORE_NAMES if len(x) > 1)))})\.)"
 SMALL_BREAKS = rf"([.!?]+)(?={WS}+[\p{{Ll}}])"
+#: Units whose offsets are added up at once.
+PART = 128
 _BLANK = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0               　"
 
 
@@ -84,9 +93,11 @@ def with_spans(rows: DataFrame, text: str, spans: str) -> DataFrame:
     column of its own, so that it is computed once."""
     rows = rows.withColumn("_small", ~F.col(text).rlike(r"\p{Lu}") & F.col(text).rlike(r"\p{Ll}"))
     rows = rows.withColumn("_other", F.col(text).rlike(OTHER_SCRIPTS))
-    own = F.when(F.col(text).rlike("[\ue000-\ue010\r]"), F.translate(text, "\ue000\ue001\ue010\r", "??? ")).otherwise(F.col(text))
+    own = F.when(F.col(text).rlike("[\ue000-\ue010\r]"), F.translate(text, "\ue000\ue001\ue002\ue010\r", "???? ")).otherwise(F.col(text))
     masked = F.regexp_replace(own, POINTS, POINT)
-    masked = F.when(F.col("_other"), F.regexp_replace(masked, QUOTATION, "$1\ue001")).otherwise(masked)
+    masked = F.when(F.col(text).rlike(r"\t[ \t]|[ \t]{9}"), F.regexp_replace(masked, FAR_ITEMS, f"$1{POINT}")).otherwise(masked)
+    quoted = F.regexp_replace(F.regexp_replace(masked, QUOTATION, "$1\ue002"), QUOTED, "\ue001")
+    masked = F.when(F.col("_other"), quoted).otherwise(masked)
     small = F.regexp_replace(F.regexp_replace(masked, SMALL_POINTS, POINT), SMALL_BREAKS, f"$1{MARK}")
     rows = rows.withColumn("_masked", F.when(F.col("_small"), small).otherwise(masked))
     full = F.regexp_replace("_masked", BREAKS, f"$1$2$3{MARK}")
@@ -96,15 +107,23 @@ def with_spans(rows: DataFrame, text: str, spans: str) -> DataFrame:
         lambda x: F.struct(F.length(x).alias("whole"), F.length(F.ltrim(x, F.lit(_BLANK))).alias("left"), F.length(F.rtrim(x, F.lit(_BLANK))).alias("right")),
     )
     rows = rows.withColumn("_sizes", sizes)
-    starts = F.aggregate(
-        "_sizes",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, x: F.struct((a["at"] + x["whole"]).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")),
-        lambda a: a["starts"],
+    # offsets in two levels, as appending to an array copies it
+    rows = rows.withColumn("_parts", F.transform(F.sequence(F.lit(0), F.expr(f"(size(_sizes) - 1) div {PART}")), lambda k: F.slice("_sizes", k * PART + 1, PART)))
+    whole = F.transform("_parts", lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["whole"]))
+    rows = rows.withColumn("_starts", _running(whole, F.lit(0), lambda x: x, lambda x, at: at))
+    own = F.flatten(F.zip_with("_parts", "_starts", lambda part, at: _running(part, at, lambda x: x["whole"], lambda x, at: F.struct((at + x["whole"] - x["left"]).alias("start_char"), (at + x["right"]).alias("end_char")))))
+    return rows.withColumn(spans, F.filter(own, lambda s: s["end_char"] > s["start_char"])).drop("_small", "_other", "_masked", "_sizes", "_parts", "_starts")
+
+
+def _running(items: Column, start: Column, size: Callable[[Column], Column], out: Callable[[Column, Column], Column]) -> Column:
+    """Of each item, ``out`` of it and the sum of the sizes before it."""
+    none = F.filter(F.array(out(F.element_at(items, 1), start)), lambda x: F.lit(False))
+    return F.aggregate(
+        items,
+        F.struct(start.alias("at"), none.alias("out")),
+        lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.array_append(a["out"], out(x, a["at"])).alias("out")),
+        lambda a: a["out"],
     )
-    rows = rows.withColumn("_starts", starts)
-    own = F.zip_with("_sizes", "_starts", lambda x, at: F.struct((at + x["whole"] - x["left"]).alias("start_char"), (at + x["right"]).alias("end_char")))
-    return rows.withColumn(spans, F.filter(own, lambda s: s["end_char"] > s["start_char"])).drop("_small", "_other", "_masked", "_sizes", "_starts")
 
 
 def sentence_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
