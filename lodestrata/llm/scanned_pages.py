@@ -32,6 +32,8 @@ CONFUSED = (
     ("o", "a"), ("a", "o"), ("v", "r"), ("q", "g"), ("b", "h"), ("h", "b"), ("n", "u"), ("u", "n"), ("f", "t"), ("t", "f"), ("f", "s"), ("s", "f"), ("ii", "n"), ("ii", "ü"), ("ii", "u"),
     ("cl", "d"), ("d", "cl"), ("rn", "m"), ("m", "rn"), ("n", "ri"), ("ni", "m"), ("in", "m"), ("a:", "ä"), ("o:", "ö"), ("u:", "ü"), ("vv", "w"), ("w", "vv"), ("li", "h"), ("ll", "U"), ("I", "l"), ("l", "I"), ("O", "0"), ("S", "5"),
 )
+#: What a reading gains if a confusion explains it, and loses by each other edit.
+CONFUSION, EDIT = 20.0, 3.0
 #: What begins the stamps that scanning workshops put on pages (fixed values).
 STAMPS = ("digitalisiert", "digitized", "digitised", "scanned", "numérisé", "digitalizado", "digitalizada", "scan:")
 
@@ -151,16 +153,24 @@ class Lexicon:
     def readings(self, word: str) -> list[tuple[str, float]]:
         """Likelier words for a word that may be misread, with their weights; none if it is good."""
         if word not in self.fixed:
+            found = []
             own = max(self.words.get(word, 0), 1)
-            found = [(c, float(np.log(self.words[c]))) for c in self.dominating(word)]
             plain = word.replace("’", "").replace("-", "").replace("'", "").isalpha()
-            if not found and (not plain or (own < self.known and self.odd(word))):
-                bound = 1 if len(word) < 7 else 2
-                for c, edits in self.within(word, bound, own * DOMINATED * (1 if not plain else 2)):
-                    found.append((c, float(np.log(self.words[c])) - 3.0 * edits))
+            likely = bool(self.dominating(word))
+            odd = not plain or (own < self.known and self.odd(word))
+            if likely or odd:
+                bound, swaps = (1 if len(word) < 7 else 2), self.swaps(word)
+                far = own * DOMINATED * (1 if not plain else 2)
+                # every word of the vocabulary within two edits that is common enough; a confusion of scanning outweighs
+                # any other edit, and may change two letters of a short word
+                for c, edits in self.within(word, 2 if likely else bound, own * DOMINATED):
+                    if c in swaps:
+                        found.append((c, float(np.log(self.words[c])) + CONFUSION))
+                    elif odd and edits <= bound and self.words[c] >= far:
+                        found.append((c, float(np.log(self.words[c])) - EDIT * edits))
                 # no word is near, but what scanning confuses makes it one by its letters: a name
                 if not found and not plain:
-                    found = [(c, -6.0) for c in self.swaps(word) if c.isalpha() and self.possible(c)]
+                    found = [(c, -6.0) for c in swaps if c.isalpha() and self.possible(c)]
             if len(self.fixed) > 300_000:
                 self.fixed.clear()
             self.fixed[word] = sorted(found, key=lambda x: (-x[1], x[0]))
@@ -205,6 +215,10 @@ def pages_of(body: str) -> list[list[tuple[int, str]]]:
     return out
 
 
+#: Letters of the pieces by which alike lines meet.
+PIECE = 4
+
+
 def _alike(a: str, b: str) -> bool:
     """Equal but for a few characters; the one may be cut short."""
     if not a or not b:
@@ -212,13 +226,42 @@ def _alike(a: str, b: str) -> bool:
     n = min(len(a), len(b))
     if n < 8 or (abs(len(a) - len(b)) > 3 and n < 14):
         return a == b
+    most = max(1, n // 8)
     row = list(range(n + 1))
     for i in range(n):
         new = [i + 1]
         for j in range(n):
             new.append(min(row[j] + (a[i] != b[j]), row[j + 1] + 1, new[j] + 1))
         row = new
-    return row[n] <= max(1, n // 8)
+        if min(row) > most:
+            return False
+    return row[n] <= most
+
+
+class Alike:
+    """Lines with their numbers, to be asked for those alike. Lines that differ in at most an eighth of their characters
+    have a piece of PIECE letters in common at nearly the same place (with d differences one of d + 1 parts is whole, and
+    every part is that long), so only lines with such a piece are compared."""
+
+    def __init__(self, lines: Counter):
+        self.lines = lines
+        self.at: dict[tuple[str, int], list[str]] = defaultdict(list)
+        self.told: dict[str, int] = {}
+        for x in lines:
+            for k in range(max(len(x) - PIECE + 1, 0)):
+                self.at[(x[k : k + PIECE], k)].append(x)
+
+    def number(self, line: str) -> int:
+        """How many lines, with repetition, are alike to this one."""
+        if line not in self.told:
+            near = {line} if line in self.lines else set()
+            far = max(1, len(line) // 8)
+            if len(line) >= 8:
+                for k in range(len(line) - PIECE + 1):
+                    for j in range(max(k - far, 0), k + far + 1):
+                        near.update(self.at.get((line[k : k + PIECE], j), ()))
+            self.told[line] = sum(self.lines[x] for x in near if _alike(x, line))
+        return self.told[line]
 
 
 def furniture_of(pages: list[list[tuple[int, str]]], title: str) -> set[int]:
@@ -234,6 +277,7 @@ def furniture_of(pages: list[list[tuple[int, str]]], title: str) -> set[int]:
     feet: Counter = Counter()
     for full in edges:
         feet.update({_letters.sub("", x.lower()) for _, x in full[-3:] if len(x) < 45})
+    alike_feet = Alike(feet)
     for full in edges:
         for n, x in reversed(full[-3:]):
             m = _number.fullmatch(x)
@@ -242,7 +286,7 @@ def furniture_of(pages: list[list[tuple[int, str]]], title: str) -> set[int]:
                 found.add(n)
             elif x.lower().startswith(STAMPS) and len(x) < 45:
                 found.add(n)
-            elif len(key) > 5 and len(x) < 45 and not _ends.search(x) and sum(v for k, v in feet.items() if _alike(k, key)) > max(1, len(edges) // 3) and len(edges) > 1:
+            elif len(key) > 5 and len(x) < 45 and not _ends.search(x) and alike_feet.number(key) > max(1, len(edges) // 3) and len(edges) > 1:
                 found.add(n)
             else:
                 break
@@ -251,6 +295,7 @@ def furniture_of(pages: list[list[tuple[int, str]]], title: str) -> set[int]:
     heads = []
     for full in edges:
         heads.append(_letters.sub("", full[0][1].lower()) if full else "")
+    alike_heads = Alike(Counter(heads))
     for k, full in enumerate(edges):
         if not full:
             continue
@@ -263,7 +308,7 @@ def furniture_of(pages: list[list[tuple[int, str]]], title: str) -> set[int]:
             continue
         if _ends.search(x) and not numbered:
             continue
-        others = sum(1 for j, h in enumerate(heads) if j != k and _alike(h, heads[k]))
+        others = alike_heads.number(heads[k]) - 1 if heads[k] else 0
         table = len(full) > 1 and bool(_row.fullmatch(full[1][1]))
         width = max((len(t) for _, t in full), default=0)
         if numbered and not _ends.search((numbered[1] or numbered[2]).rstrip()) and re.search(r"[^\W\d_]{3}", x):
