@@ -41,6 +41,9 @@ PLACEHOLDERS = (
 _placeholder = re.compile("(?:" + "|".join(PLACEHOLDERS) + ")", re.I).fullmatch
 
 
+#: The number of the feature that a line is a placeholder.
+SYNTAX = 12_345
+
 _not_letters = regex.compile(r"\P{L}+")
 
 
@@ -49,6 +52,14 @@ def lines_of(body: str) -> list[str]:
     return [x for line in body.split("\n") if (x := line.strip()) and (" > " not in x or _placeholder(x)) and x[-2:] != " >"]
 
 
+def features_of(hasher: LineHasher, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' hashed features; a placeholder's syntax is one of its own, with as much weight as all others of the line."""
+    features, owner = hasher(lines)
+    syntax = np.array([k for k, x in enumerate(lines) if len(x) < 200 and _placeholder(x)], np.int64)
+    times = np.bincount(owner, minlength=len(lines))[syntax]
+    return np.r_[features, np.full(times.sum(), SYNTAX, np.int64)], np.r_[owner, np.repeat(syntax, times)]
+
+
 class Model:
     """Weights of the features, and the decision on records."""
 
@@ -58,11 +69,7 @@ class Model:
     def passages(self, features: np.ndarray, owner: np.ndarray, lines: list[str]) -> np.ndarray:
         """A score for each line: the sum of its features' weights, tempered as they depend on each other."""
         total, number = score(self.weights, features, owner, len(lines))
-        scores = total / np.sqrt(np.maximum(number, 1))
-        for k, line in enumerate(lines):
-            if len(line) < 200 and scores[k] < ERROR and _placeholder(line):
-                scores[k] = ERROR
-        return scores
+        return total / np.sqrt(np.maximum(number, 1))
 
     @staticmethod
     def decide(scores: np.ndarray, lines: list[str]) -> bool:
@@ -82,7 +89,7 @@ def fit(trusted: list[str], bare: list[str], rest: list[str]) -> Model:
         return model
     flat = [x for b in bodies for x in b]
     record = np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
-    features, owner = LineHasher()(flat)
+    features, owner = features_of(LineHasher(), flat)
     sure = np.array([bool(_placeholder(x)) for x in flat])
     r = (record < begun).astype(float)
     # furniture counts against a feature, but the sides are compared by their other passages, as the positives hold none
@@ -141,7 +148,7 @@ def _scorer(weights: np.ndarray):
                 flat = [x for b in bodies for x in b]
                 if not flat:
                     continue
-                scores = model.passages(*hasher(flat), flat)
+                scores = model.passages(*features_of(hasher, flat), flat)
                 ends = np.cumsum([len(b) for b in bodies])
                 ids = part.column(0).to_pylist()
                 found = [i for i, b, e in zip(ids, bodies, ends, strict=True) if b and Model.decide(scores[e - len(b) : e], b)]
