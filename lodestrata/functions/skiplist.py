@@ -1,4 +1,4 @@
-"""Skip lists: hosts and URL patterns that are left out at ingest, purged, and hidden in results."""
+"""Skip lists: hosts and URL patterns that are left out at ingest, purged, and hidden in results. No list is shipped."""
 
 from __future__ import annotations
 
@@ -31,13 +31,6 @@ def compile_patterns(patterns: list[str]) -> tuple[list[str], list[str]]:
     return active, rejected
 
 
-#: A shipped list in our own wording: endless calendars, sessions, searches, shops' baskets, print and share variants.
-DEFAULT_PATTERNS = [
-    r"(?i)[?&](?:phpsessid|jsessionid|sid)=", r"(?i)/calendar/[0-9]{4}/[0-9]{1,2}/", r"(?i)[?&](?:add-to-cart|basket|wishlist)=",
-    r"(?i)[?&](?:replytocom|share)=", r"(?i)/(?:wp-login|xmlrpc)\.php", r"(?i)[?&]print(?:able)?=(?:1|yes|true)", r"(?i)/search/?\?", r"(?i)[?&]utm_[a-z]+=",
-]
-
-
 @dataclass
 class SkipList:
     domains: list[str] = field(default_factory=list)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +59,11 @@ def delete_surts(captures: DataFrame, surts: DataFrame) -> DataFrame:
 
 def replace_files(docs: DataFrame, batch: DataFrame) -> DataFrame:
     """Replace on re-index: all rows of the batch's files go, the batch comes; other files' rows of the same URLs stay."""
-    return docs.join(batch.select("s3_key").distinct(), "s3_key", "left_anti").unionByName(batch, allowMissingColumns=True)
+    return without_files(docs, batch.select("s3_key")).unionByName(batch, allowMissingColumns=True)
+
+
+def without_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    return rows.join(files.select("s3_key").distinct(), "s3_key", "left_anti")
 
 
 def purge(captures: DataFrame, docs: DataFrame, skip: SkipList) -> tuple[DataFrame, DataFrame]:
@@ -77,15 +84,41 @@ CDX_HEADER = " CDX N b a m s k r M S V g"
 
 
 def save_versioned(df: DataFrame, path: str, version: int, keep: int = 2) -> None:
-    """Write a snapshot beside the earlier ones, then name it the current one; readers of older ones go on."""
-    df.write.mode("overwrite").parquet(f"{path}/v={version}")
+    """Write a snapshot beside the earlier ones, then name it the current one; readers of older ones go on.
+
+    A snapshot's folder is never written twice: when a version is written again after a failure, also from its own earlier
+    snapshot, it goes to a new folder, and only then does the pointer change.
+    """
     spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{path}/current-{version}")
-    if version > keep:
-        drop_path(spark, f"{path}/v={version - keep - 1}")
-        drop_path(spark, f"{path}/current-{version - keep - 1}")
+    name = f"v={version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    pointer = f"{path}/current-{version}-{name.partition('-')[2]}"
+    spark.createDataFrame([(version, name, time.time_ns())], "version long, name string, at long").coalesce(1).write.json(pointer)
+    for old_version, old_name, _ in sorted(_snapshots(spark, path), reverse=True)[keep + 1 :]:
+        drop_path(spark, f"{path}/current-{old_version}-{old_name.partition('-')[2]}")
+        drop_path(spark, f"{path}/{old_name}")
+
+
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[tuple[int, str, int]]:
+    """The few snapshots that are kept: version, folder and when it was named; no error but a missing table means none."""
+    if not _exists(spark, f"{path}/current-*/_SUCCESS"):
+        return []
+    rows = spark.read.schema("version long, name string, at long").json(f"{path}/current-*").collect()
+    return [(r.version, r.name, r.at) for r in rows if r.name]
+
+
+def load_versioned(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The current snapshot, or the last one of a version less than ``before``; None if there is none yet."""
+    known = [(v, at, name) for v, name, at in _snapshots(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/{max(known)[2]}") if known else None
 
 
-def load_versioned(spark: SparkSession, path: str) -> DataFrame:
-    current = spark.read.schema("version long").json(f"{path}/current-*").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/v={current}")
+def last_version(spark: SparkSession, path: str) -> int:
+    """The current version's number, -1 if there is none."""
+    return max((v for v, _, _ in _snapshots(spark, path)), default=-1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as tx
 from lodestrata.functions import timestamps as ts
 from lodestrata.functions import urls as ur
-from lodestrata.functions.skiplist import DEFAULT_PATTERNS, SkipList
+from lodestrata.functions.skiplist import SkipList
 from lodestrata.operators import captures as cp
 from lodestrata.operators import fulltext as ft
 from lodestrata.operators import links as ln
@@ -376,14 +376,18 @@ def timestamp_forms(spark, d):
 # --- skip lists, keeping tables ---------------------------------------------------------------------------------------
 
 
+#: Shapes of urls that the test tables hold: fonts, and pages of a query whose key ends in a seven.
+_SKIPPED = [r"\.woff2?$", r"(?i)[?&]id=[0-9a-z]*7(?:$|&)"]
+
+
 def _skip(spark, d) -> SkipList:
     c = _cdx(spark, d)
     domain = ".".join(reversed(hot_domain(c).split(",")))
-    return SkipList([domain], [*DEFAULT_PATTERNS, r"\.woff2?$", "(", ""])
+    return SkipList([domain], [*_SKIPPED, "(", ""])
 
 
 _SKIP_D = f"(select array_to_string(list_reverse(string_split({_HOT_DOMAIN}, ',')), '.'))"
-_PATTERNS = "|".join(f"(?:{p})" for p in [*DEFAULT_PATTERNS, r"\.woff2?$"])
+_PATTERNS = "|".join(f"(?:{p})" for p in _SKIPPED)
 
 
 def _listed_sql(col: str) -> str:

@@ -60,12 +60,12 @@ def write_lines(rows: DataFrame, column: str, path: str, header: str | None = No
 
 
 def write_sidecars(captures: DataFrame, folder: str, done: DataFrame | None = None) -> None:
-    """The index lines of every file that has none yet, a folder for each file."""
+    """The index lines of every file that has none yet, a folder for each file; folders of other files stay as they are."""
     lines = cdx_lines(captures)
     lines = lines.join(done.select("s3_key"), "s3_key", "left_anti") if done is not None else lines
     header = lines.select("s3_key").distinct().withColumn("line", F.lit(CDX_HEADER))
     rows = lines.withColumn("k", F.lit(1)).unionByName(header.withColumn("k", F.lit(0)))
-    rows.repartition("s3_key").sortWithinPartitions("s3_key", "k", "line").select("s3_key", F.col("line").alias("value")).write.mode("overwrite").partitionBy("s3_key").text(folder)
+    rows.repartition("s3_key").sortWithinPartitions("s3_key", "k", "line").select("s3_key", F.col("line").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("s3_key").text(folder)
 
 
 Extractor = Callable[[bytes], tuple[str, str]]

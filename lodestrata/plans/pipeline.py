@@ -11,8 +11,9 @@ from lodestrata.functions import text as tx
 from lodestrata.functions.skiplist import SkipList
 from lodestrata.functions.urls import is_bookkeeping_url, to_surt
 from lodestrata.operators.captures import is_indexable
-from lodestrata.operators.upsert import new_or_changed, replace_files, upsert
+from lodestrata.operators.upsert import new_or_changed, upsert, without_files
 from lodestrata.sources import warc
+from lodestrata.store import materialize
 
 MAX_TEXT_BYTES = 524_288
 
@@ -83,11 +84,20 @@ _KEEP = ["surt_url", "timestamp", "original", "mime", "status", "digest", "s3_ke
 
 
 def index_run(records: DataFrame, captures: DataFrame, docs: DataFrame, skip: SkipList | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(captures, docs, outcomes) after the records of new or changed files came in: their old rows are replaced, and of
-    captures with the same URL and second the last written stands."""
-    found = captures_of(records, skip=skip)
-    kept = captures.join(found.select("s3_key").distinct(), "s3_key", "left_anti")
-    return upsert(kept.select(*_KEEP), found.select(*_KEEP), ["surt_url", "timestamp"], ["s3_key", "offset"]), replace_files(docs, documents_of(found)), outcomes_of(records)
+    """(captures, docs, outcomes) after the records of new or changed files came in.
+
+    A file that was read to its end replaces its old rows, also if it has none any more. A file with an unreadable record
+    keeps them: what was read of it is added, rows of the same place being written anew. Of captures with the same URL and
+    second the last written stands. Records are read and decoded once, into the shared folder.
+    """
+    records = materialize(records, "records")
+    outcomes = materialize(outcomes_of(records), "outcomes")
+    found = materialize(captures_of(records, skip=skip), "found")
+    new_docs = materialize(documents_of(found), "documents")
+    done = outcomes.filter("outcome = 'done'")
+    kept = without_files(captures.select(*_KEEP), done)
+    kept_docs = without_files(docs, done).join(new_docs.select("s3_key", "offset"), ["s3_key", "offset"], "left_anti")
+    return upsert(kept, found.select(*_KEEP), ["surt_url", "timestamp"], ["s3_key", "offset"]), kept_docs.unionByName(new_docs, allowMissingColumns=True), outcomes
 
 
 def pending(listing: DataFrame, state: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``; where that is unset (tests), an own one."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``. Where that is unset, a session in one process has
+    an own one; a cluster's executors would not share it, so there it is an error."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="lodestrata-")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -44,11 +48,23 @@ def _clean() -> None:
             return
 
 
+@contextmanager
+def dropped_after(spark: SparkSession):
+    """Deletes, at its end, the tables that ``materialize`` wrote within: results must have been read or written by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for _, path in _written[before:]:
+            drop_path(spark, path)
+        del _written[before:]
+
+
 def materialize(df: DataFrame, tag: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not the stages before them, and what is used
-    twice is computed once. The table is deleted when the driver ends.
+    twice is computed once. The table is deleted at the end of ``dropped_after``, or when the driver ends.
     """
     spark = df.sparkSession
     if not _written:

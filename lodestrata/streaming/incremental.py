@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.upsert import load_versioned, save_versioned, upsert
+from lodestrata.operators.upsert import last_version, load_versioned, save_versioned, upsert
 
 KEYS, ORDER = ["surt_url", "timestamp"], ["s3_key", "offset"]
 
@@ -19,16 +19,22 @@ def arriving(spark: SparkSession, folder: str, schema, files_per_batch: int = 10
 
 
 def upsert_stream(captures: DataFrame, target: str, checkpoint: str, trigger: dict | None = None):
-    """Upsert every batch into the versioned table at ``target``. A batch's number is its version, so that a batch that is
-    run again after a failure writes the same snapshot again."""
+    """Upsert every batch into the versioned table at ``target``, which may hold rows already.
+
+    The versions of a run follow those the table had when its checkpoint was new (kept beside the checkpoint), so a batch
+    that is run again after a failure starts from the snapshot before it and replaces its own. A failing read ends the
+    query; it never counts as an empty table.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            now = load_versioned(spark, target) if number else batch.limit(0)
-        except Exception:  # nothing was written yet
-            now = batch.limit(0)
-        save_versioned(upsert(now, batch, KEYS, ORDER), target, number)
+        if load_versioned(spark, start) is None:
+            save_versioned(spark.createDataFrame([(last_version(spark, target) + 1,)], "first long"), start, 0)
+        version = load_versioned(spark, start).first()[0] + number
+        now = load_versioned(spark, target, before=version)
+        save_versioned(upsert(batch.limit(0) if now is None else now, batch, KEYS, ORDER), target, version)
+
+    start = f"{checkpoint.rstrip('/')}-start"
 
     return captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

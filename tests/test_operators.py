@@ -12,11 +12,11 @@ from lodestrata.plans import config
 
 
 def test_closest(captures):
-    at = lambda t, **k: [r.timestamp for r in cp.closest(captures, "com,example)/", t, **k).collect()]
-    assert at("20240601120000") == ["20240601120000"] and at("20200101000000") == ["20240101120000"] and at("20300101000000") == ["20241201120000"]
-    assert at("not a time") == [] and cp.closest(captures, "no,such)/", "20240601120000").count() == 0
-    tie = captures.filter("surt_url = 'com,example)/page'")
-    assert cp.closest(tie, "com,example)/page", "20240315120000").first().timestamp == "20240315080000"
+    at = lambda t, **k: [r.timestamp for r in cp.closest(captures, "test,orchard)/", t, **k).collect()]
+    assert at("20191117201010") == ["20191117201010"] and at("20100101000000") == ["20180305091500"] and at("20300101000000") == ["20210822060430"]
+    assert at("not a time") == [] and cp.closest(captures, "no,such)/", "20191117201010").count() == 0
+    tie = captures.filter("surt_url = 'test,orchard)/pears'")
+    assert cp.closest(tie, "test,orchard)/pears", "20200214101010").first().timestamp == "20200214070809"
 
 
 def test_closest_metric(spark):
@@ -28,25 +28,25 @@ def test_closest_metric(spark):
 
 
 def test_lookups(captures):
-    assert [r.timestamp for r in cp.by_prefix(captures, "com,example)", 2).collect()] == ["20240101120000", "20240601120000"]
+    assert [r.timestamp for r in cp.by_prefix(captures, "test,orchard)", 2).collect()] == ["20180305091500", "20191117201010"]
     assert cp.by_prefix(captures, "").count() == 0
-    assert {r[0] for r in cp.originals_of_domain(captures, "com,example").collect()} == {"https://example.com/", "https://EXAMPLE.com/", "https://example.com/page", "https://sub.example.com/x"}
+    assert {r[0] for r in cp.originals_of_domain(captures, "test,orchard").collect()} == {"https://orchard.test/", "https://ORCHARD.test/", "https://orchard.test/pears", "https://old.orchard.test/x"}
     assert cp.pdf_urls(captures).count() == 1
-    assert cp.cdx_lookup(captures, "com,example,sub)/x").first().mime == "-"
-    assert cp.cdx_lookup(captures, "com,example)/page", "prefix", limit=3).count() == 3
-    assert cp.timemap(captures, "com,example)/", -1).first().line.split()[1] == "20241201120000"
-    runs = cp.browse_captures(captures, True).filter("surt_url = 'com,example)/'").orderBy("run").collect()
+    assert cp.cdx_lookup(captures, "test,orchard,old)/x").first().mime == "-"
+    assert cp.cdx_lookup(captures, "test,orchard)/pears", "prefix", limit=3).count() == 3
+    assert cp.timemap(captures, "test,orchard)/", -1).first().line.split()[1] == "20210822060430"
+    runs = cp.browse_captures(captures, True).filter("surt_url = 'test,orchard)/'").orderBy("run").collect()
     assert [(r.captures, r.ok) for r in runs] == [(2, True), (1, True)]
-    assert cp.by_surt_range(captures, "com,example)/", "20240601120000", "20241201120000").count() == 2
+    assert cp.by_surt_range(captures, "test,orchard)/", "20191117201010", "20210822060430").count() == 2
 
 
 def test_statistics(captures):
     s = st.basic_stats(captures).first()
-    assert (s.captures, s.urls, s.files, s.first, s.last) == (8, 5, 2, "20240101120000", "20241201120000")
+    assert (s.captures, s.urls, s.files, s.first, s.last) == (8, 5, 2, "20180305091500", "20210822060430")
     none = st.basic_stats(captures.limit(0)).first()
     assert none.captures == 0 and none.first is None
     assert st.mime_counts(captures).collect()[0].mime == "text/html"
-    assert {(r.host, r.n) for r in st.browse_subdomains(captures, "com,example").collect()} == {("com,example", 5), ("com,example,sub", 1)}
+    assert {(r.host, r.n) for r in st.browse_subdomains(captures, "test,orchard").collect()} == {("test,orchard", 5), ("test,orchard,old", 1)}
     assert [(r.collection, r.n) for r in st.collection_cards(captures, ["scans"]).collect()] == [("warc", 7), ("scans", 1)]
     assert st.collection_cards(captures, ["none"]).count() == 0
 
@@ -76,14 +76,14 @@ def test_versioned(spark, tmp_path):
 
 
 def test_purge_and_export(spark, captures):
-    docs = spark.createDataFrame([("http://example.com/",), ("https://other.org/",)], "url string")
-    kept, left = up.purge(captures, docs, SkipList(["example.com"]))
+    docs = spark.createDataFrame([("http://orchard.test/",), ("https://ledger.invalid/",)], "url string")
+    kept, left = up.purge(captures, docs, SkipList(["orchard.test"]))
     assert kept.count() == 2 and left.count() == 1
     a = spark.createDataFrame([("http://x/1.pdf",), ("ftp://x/",)], "url string")
     b = spark.createDataFrame([("http://x/1.pdf",), ("http://x/1.pdf",), ("http://bad/2.pdf",), (None,)], "url string")
     bad = F.col("url").contains("bad")
     assert tuple(ln.merge_report(a, b, bad).first()) == (2, 3, 1, 1, 1) and ln.merged_urls(a, b, bad).count() == 1
-    line = up.cdx_lines(captures).filter("line like 'com,example,sub%'").first().line
+    line = up.cdx_lines(captures).filter("line like 'test,orchard,old%'").first().line
     assert line.split()[3:6] == ["-", "-", "-"] and line.endswith(" a.warc.gz")
 
 

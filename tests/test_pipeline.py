@@ -8,11 +8,11 @@ from lodestrata.sources import objects, warc
 from lodestrata.streaming import incremental
 
 
-def response(url, body, date="2024-01-02T03:04:05Z", head=b"Content-Type: text/html; charset=utf-8", extra=()):
+def response(url, body, date="2019-05-06T07:08:09Z", head=b"Content-Type: text/html; charset=utf-8", extra=()):
     return warc.record_bytes("response", [("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Record-ID", f"<urn:{url}>"), ("WARC-Payload-Digest", "sha1:P"), ("Content-Type", "application/http; msgtype=response"), *extra], b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body)
 
 
-INFO = warc.record_bytes("warcinfo", [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Record-ID", "<urn:i>")], b"software: x\r\n")
+INFO = warc.record_bytes("warcinfo", [("WARC-Date", "2019-05-06T00:00:00Z"), ("WARC-Record-ID", "<urn:i>")], b"software: x\r\n")
 PAGE = b"<html><title>Hi &amp; bye</title><body><p>Some text</p></body></html>"
 
 
@@ -21,12 +21,12 @@ def folder(tmp_path):
     chunks = b"5\r\n" + gzip.compress(PAGE)[:5] + b"\r\n%x\r\n" % (len(gzip.compress(PAGE)) - 5) + gzip.compress(PAGE)[5:] + b"\r\n0\r\n\r\n"
     records = [
         INFO,
-        response("http://example.com/a", PAGE),
-        response("http://example.com/b", chunks, head=b"Content-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip"),
-        response("http://example.com/t", b"First line\nrest of it", head=b"Content-Type: text/plain"),
-        response("dns:example.com", b"x"),
-        warc.record_bytes("request", [("WARC-Target-URI", "http://example.com/a"), ("WARC-Date", "2024-01-02T03:04:05Z")], b"GET / HTTP/1.1\r\n\r\n"),
-        response("http://example.com/a", PAGE, date="not a date"),
+        response("http://mill.test/a", PAGE),
+        response("http://mill.test/b", chunks, head=b"Content-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip"),
+        response("http://mill.test/t", b"First line\nrest of it", head=b"Content-Type: text/plain"),
+        response("dns:mill.test", b"x"),
+        warc.record_bytes("request", [("WARC-Target-URI", "http://mill.test/a"), ("WARC-Date", "2019-05-06T07:08:09Z")], b"GET / HTTP/1.1\r\n\r\n"),
+        response("http://mill.test/a", PAGE, date="not a date"),
     ]
     warc.write_file(f"{tmp_path}/one.warc.gz", records)
     warc.write_file(f"{tmp_path}/two.warc", [b"\r\n\r\n" + records[0], records[1]], gz=False)
@@ -63,10 +63,10 @@ def test_broken(tmp_path, raw):
 def test_index_run(spark, folder):
     records = pl.read_warcs(spark, f"{folder}/one.warc.gz")
     found = pl.captures_of(records)
-    assert {r.original for r in found.collect()} == {"http://example.com/a", "http://example.com/b", "http://example.com/t"}
+    assert {r.original for r in found.collect()} == {"http://mill.test/a", "http://mill.test/b", "http://mill.test/t"}
     docs = {r.url: r for r in pl.documents_of(found).collect()}
-    assert docs["http://example.com/b"].body == "Hi & bye Some text" and docs["http://example.com/b"].title == "Hi & bye"
-    assert (docs["http://example.com/t"].title, docs["http://example.com/t"].body) == ("First line", "rest of it")
+    assert docs["http://mill.test/b"].body == "Hi & bye Some text" and docs["http://mill.test/b"].title == "Hi & bye"
+    assert (docs["http://mill.test/t"].title, docs["http://mill.test/t"].body) == ("First line", "rest of it")
     assert pl.warcinfo_of(records).first().block_text == "software: x\r\n"
     c0, d0 = found.select(*pl._KEEP).limit(0), pl.documents_of(found).limit(0)
     c1, d1, out = pl.index_run(records, c0, d0)
@@ -99,8 +99,8 @@ def test_listing(spark, folder):
     (folder / "doc.PDF").write_bytes(b"%PDF")
     rows = objects.listing(spark, f"file://{folder}")
     assert {r.key for r in rows.collect()} == {"one.warc.gz", "two.warc", "bad.warc", "doc.PDF"}
-    pdf = objects.pdf_collection(rows, "scans", "https://pdf.example.org/").first()
-    assert pdf.surt_url == "org,example,pdf)/doc.PDF" and pdf.length == 4 and pdf.collection == "scans"
+    pdf = objects.pdf_collection(rows, "scans", "https://scans.quay.invalid/").first()
+    assert pdf.surt_url == "invalid,quay,scans)/doc.PDF" and pdf.length == 4 and pdf.collection == "scans"
     assert objects.pdf_collection(rows, "scans", "https://x", "^never").count() == 0
 
 

@@ -9,14 +9,14 @@ from lodestrata.plans import pipeline as pl
 from lodestrata.sources import warc
 from test_pipeline import INFO, response
 
-LINKS = b'<html><a href="x.pdf">1</a><a href="http://o.org/y.PDF#p">2</a><a href="z.html"></html>'
+LINKS = b'<html><a href="x.pdf">1</a><a href="http://quay.invalid/y.PDF#p">2</a><a href="z.html"></html>'
 
 
 @pytest.fixture(scope="module")
 def archive(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("archive")
-    warc.write_file(f"{folder}/one.warc.gz", [INFO, response("http://example.com/a", LINKS), response("http://example.com/b.pdf", b"%PDF", head=b"Content-Type: application/pdf")])
-    warc.write_file(f"{folder}/two.warc", [response("http://example.com/c", LINKS)], gz=False)
+    warc.write_file(f"{folder}/one.warc.gz", [INFO, response("http://mill.test/a", LINKS), response("http://mill.test/b.pdf", b"%PDF", head=b"Content-Type: application/pdf")])
+    warc.write_file(f"{folder}/two.warc", [response("http://mill.test/c", LINKS)], gz=False)
     return str(folder), pl.captures_of(pl.read_warcs(spark, str(folder))).select(*pl._KEEP).cache()
 
 
@@ -24,7 +24,7 @@ def test_export(archive):
     folder, captures = archive
     rows = mt.fetch_records(captures, folder).collect()
     assert all(r.block.startswith(b"HTTP/1.1") for r in rows) and len(rows) == 3
-    assert [r.url for r in mt.export_pdf_urls(captures, folder, F.col("url").contains("nothing")).collect()] == ["http://example.com/b.pdf", "http://example.com/x.pdf", "http://o.org/y.PDF"]
+    assert [r.url for r in mt.export_pdf_urls(captures, folder, F.col("url").contains("nothing")).collect()] == ["http://mill.test/b.pdf", "http://mill.test/x.pdf", "http://quay.invalid/y.PDF"]
     assert mt.fetch_records(captures.withColumn("s3_key", F.lit("gone")), folder).filter("read_error is null").count() == 0
 
 
@@ -60,12 +60,12 @@ def test_recompress(spark, archive, tmp_path):
 
 
 def test_endpoints(spark, captures):
-    assert ep.lookup_capture(captures, "com,example)/").first().timestamp == "20241201120000"
-    assert ep.lookup_capture(captures, "com,example)/", "2024").first().timestamp == "20240101120000"
+    assert ep.lookup_capture(captures, "test,orchard)/").first().timestamp == "20210822060430"
+    assert ep.lookup_capture(captures, "test,orchard)/", "2018").first().timestamp == "20180305091500"
     with pytest.raises(ep.BadRequest):
-        ep.lookup_capture(captures, "com,example)/", "20x")
-    assert ep.browse(captures).count() == 2 and ep.browse(captures, tld="com").count() == 2 and ep.browse(captures, domain="example.com").count() == 2
-    assert ep.browse(captures, host="example.com").count() == 3 and ep.browse(captures, host="sub.example.com", show_all=True).count() == 1
+        ep.lookup_capture(captures, "test,orchard)/", "20x")
+    assert ep.browse(captures).count() == 2 and ep.browse(captures, tld="test").count() == 2 and ep.browse(captures, domain="orchard.test").count() == 2
+    assert ep.browse(captures, host="orchard.test").count() == 3 and ep.browse(captures, host="old.orchard.test", show_all=True).count() == 1
     rows = spark.createDataFrame([("u", "text/html", bytearray(b"<p>a")), ("v", "text/plain", bytearray(b"l1\nl2")), ("w", "image/png", bytearray(b"x")), ("x", None, None)], "original string, mime string, payload binary")
     assert {r.original: r.text for r in ep.capture_text(rows).collect()} == {"u": "a", "v": "l1\nl2", "w": None, "x": None}
     docs = spark.createDataFrame([(k, f"http://h{k}.x.org/", 20200101000000 + k, "t", "apple", "text/html", "k", k, 1, "warc") for k in range(9)], "id long, url string, timestamp long, title string, body string, mime string, s3_key string, offset long, length long, collection string")
