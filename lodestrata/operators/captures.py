@@ -37,17 +37,36 @@ def closest(captures: DataFrame, surt: str, at: str, metric: str = "digits") ->
     return rows.withColumn("_d", ts.distance(F.col("timestamp"), F.lit(at), metric)).orderBy("_d", "timestamp", *_TIE).limit(1).drop("_d")
 
 
+#: Captures of a URL are ordered within the days of their times, and days among each other, so that a URL that holds a
+#: large part of all captures is in many tasks.
+_DAY = 8
+
+
 def closest_each(probes: DataFrame, captures: DataFrame, metric: str = "digits") -> DataFrame:
-    """For every probe (probe_id, surt_url, at) the nearest capture of its URL.
+    """For every probe (probe_id, surt_url, at) the nearest capture of its URL, the earlier one on a tie.
 
-    Captures are first reduced to one for each URL and time, so a URL with very many captures or probes is joined on few
-    rows; a URL that holds a large part of both is split by the skew handling of the adaptive join. The aggregation keeps
-    one row for each probe and combines before the shuffle.
+    An as-of merge: probes and captures, first reduced to one for each URL and time, are sorted together by URL and day, and
+    the captures next to a probe are taken from its day; those of the nearest other days come from a table of each day's
+    first and last capture. So no pairs are listed, however many captures and probes a URL has. Captures and probes without
+    a valid time are left out; of a probe_id that comes twice the nearest capture of all its rows is given.
     """
-    own = captures.groupBy("surt_url", "timestamp").agg(F.min(F.struct("s3_key", "offset", "status")).alias("c"))
-    joined = probes.select("probe_id", "surt_url", "at").join(own, "surt_url").withColumn("distance", ts.distance(F.col("timestamp"), F.col("at"), metric)).filter("distance is not null")
-    best = joined.groupBy("probe_id").agg(F.min(F.struct("distance", "timestamp", "c.s3_key", "c.offset", "c.status")).alias("b"))
-    return best.select("probe_id", "b.*")
+    one = F.struct("timestamp", F.min(F.struct("s3_key", "offset", "status")).alias("c"))
+    own = captures.filter(F.col("surt_url").isNotNull() & ts.is_valid(F.col("timestamp"))).groupBy("surt_url", "timestamp").agg(one.alias("here"))
+    own = own.select("surt_url", F.left("timestamp", F.lit(_DAY)).alias("day"), F.col("timestamp").alias("t"), "here")
+    asked = probes.filter(F.col("surt_url").isNotNull() & ts.is_valid(F.col("at"))).select("surt_url", F.left("at", F.lit(_DAY)).alias("day"), F.col("at").alias("t"), "probe_id")
+    days = own.groupBy("surt_url", "day").agg(F.min("here").alias("first"), F.max("here").alias("last")).unionByName(asked.select("surt_url", "day").distinct(), allowMissingColumns=True)
+    days = days.groupBy("surt_url", "day").agg(F.first("first", True).alias("first"), F.first("last", True).alias("last"))
+    among = Window.partitionBy("surt_url").orderBy("day")
+    days = days.select(
+        "surt_url", "day", F.last("last", True).over(among.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(among.rowsBetween(1, Window.unboundedFollowing)).alias("after")
+    )
+    within = Window.partitionBy("surt_url", "day").orderBy("t", F.col("probe_id").isNotNull())
+    merged = own.unionByName(asked, allowMissingColumns=True)
+    merged = merged.withColumn("below", F.last("here", True).over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.first("here", True).over(within.rowsBetween(0, Window.unboundedFollowing)))
+    near = merged.filter("probe_id is not null").join(days, ["surt_url", "day"])
+    far = lambda x: F.struct(ts.distance(x["timestamp"], F.col("t"), metric).alias("distance"), x["timestamp"].alias("timestamp"), x["c"]["s3_key"].alias("s3_key"), x["c"]["offset"].alias("offset"), x["c"]["status"].alias("status"))
+    best = F.array_min(F.transform(F.array_compact(F.array("below", "above", "before", "after")), far))
+    return near.select("probe_id", best.alias("b")).filter("b is not null").groupBy("probe_id").agg(F.min("b").alias("b")).select("probe_id", "b.*")
 
 
 def newest_each(captures: DataFrame) -> DataFrame:
@@ -140,9 +159,17 @@ def timemap(captures: DataFrame, surt: str, limit: int | None = None) -> DataFra
 def browse_captures(captures: DataFrame, show_all: bool = False) -> DataFrame:
     """(surt_url, original, run, captures, ok): runs of consecutive captures with the same original URL within a SURT, with
     their number and whether any was a success; runs without one are hidden unless ``show_all``."""
-    w = Window.partitionBy("surt_url").orderBy("timestamp", *_TIE)
-    rows = captures.select("surt_url", "timestamp", "original", "status", *_TIE)
-    rows = rows.withColumn("start", F.coalesce(F.lag("original").over(w) != F.col("original"), F.lit(True)).cast("int")).withColumn("run", F.sum("start").over(w))
+    order = ["timestamp", *_TIE]
+    rows = captures.filter("surt_url is not null").select("surt_url", "original", "status", *order, F.coalesce(F.left("timestamp", F.lit(_DAY)), F.lit("")).alias("day"))
+    within = Window.partitionBy("surt_url", "day").orderBy(*order)
+    changed = F.coalesce(F.lag("original").over(within) != F.col("original"), F.lit(True)) & (F.row_number().over(within) > 1)
+    rows = rows.withColumn("start", changed.cast("int"))
+    # a day's first capture begins a run if it differs from the last one of the day before; runs are counted over the days
+    days = rows.groupBy("surt_url", "day").agg(F.min_by("original", F.struct(*order)).alias("first"), F.max_by("original", F.struct(*order)).alias("last"), F.sum("start").alias("inner"))
+    among = Window.partitionBy("surt_url").orderBy("day")
+    days = days.withColumn("head", F.coalesce(F.lag("last").over(among) != F.col("first"), F.lit(True)).cast("int"))
+    days = days.select("surt_url", "day", (F.sum(F.col("head") + F.col("inner")).over(among) - F.col("inner")).alias("base"))
+    rows = rows.withColumn("own", F.sum("start").over(within)).join(days, ["surt_url", "day"]).withColumn("run", F.col("base") + F.col("own"))
     runs = rows.groupBy("surt_url", "run").agg(
         F.first("original").alias("original"), F.count("*").alias("captures"), F.coalesce(F.bool_or(F.col("status").between(200, 299)), F.lit(False)).alias("ok")
     )
