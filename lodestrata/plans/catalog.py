@@ -344,7 +344,7 @@ def plain_text_parts(spark, d):
     return _docs(spark, d).select("rec_id", tx.plain_title(F.col("body")).alias("title"), tx.plain_body(F.col("body")).alias("rest"))
 
 
-_PAGE = "concat('<html><head><title>', title, ' &amp; more</title><style>p {{ x: 1 }}</style></head><body><!-- <p> --><script>var a = \"<!--\";</script><p>', replace(body, chr(10), '</p><p>'), '</p></body></html>')"
+_PAGE = "concat('<html><head><title>', coalesce(title, ''), ' &amp; more</title><style>p {{ x: 1 }}</style></head><body><!-- <p> --><script>var a = \"<!--\";</script><p>', replace(coalesce(body, ''), chr(10), '</p><p>'), '</p></body></html>')"
 
 
 def _page():
@@ -355,16 +355,23 @@ _WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}
 _STRIP = r"(?is)<!--.*?(?:-->|\z)|<script[>/ \t\r\n].*?(?:</script[^>]*(?:>|\z)|\z)|<style[>/ \t\r\n].*?(?:</style[^>]*(?:>|\z)|\z)|<noscript[>/ \t\r\n].*?(?:</noscript[^>]*(?:>|\z)|\z)|<[^>]*(?:>|\z)"
 
 
-@query(f"select rec_id, trim(regexp_replace(replace(regexp_replace({_PAGE}, '{_STRIP}', ' ', 'g'), '&amp;', '&'), '{_WS}', ' ', 'g'), ' ') as text from index_docs where not regexp_matches(body || title, '&(#|lt|gt|quot|apos|nbsp|amp)|<')")
+def _entities_sql(text: str) -> str:
+    """``text`` with its entities decoded: the text between numeric references and their characters, then the named ones."""
+    out = f"(select array_to_string(list_transform(regexp_split_to_array(x, '&#[0-9]{{1,9}};'), lambda s, i: s || coalesce(chr(codes[i]::int), '')), '') from (select {text} as x, regexp_extract_all({text}, '&#([0-9]{{1,9}});', 1) as codes))"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", "\xa0"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{char}')"
+    return out
+
+
+@query(f"select rec_id, trim(regexp_replace({_entities_sql('t')}, '{_WS}', ' ', 'g'), ' ') as text from (select rec_id, regexp_replace({_PAGE}, '{_STRIP}', ' ', 'g') as t from index_docs)")
 def html_text(spark, d):
-    """Every record's text set as a page and stripped again, null as empty. The SQL leaves out records that hold markup
-    themselves, so it gives fewer rows where there are any."""
+    """Every record's text set as a page and stripped again, null as empty."""
     return _docs(spark, d).select("rec_id", tx.strip_html(_page()).alias("text"))
 
 
-@query(f"select rec_id, left(trim(regexp_replace(replace(regexp_extract({_PAGE}, '(?is)<title[^>]*>(.*?)</title', 1), '&amp;', '&'), '{_WS}', ' ', 'g'), ' '), 512) as title from index_docs where not regexp_matches(body || title, '&(#|lt|gt|quot|apos|nbsp|amp)|<')")
+@query(f"select rec_id, left(trim(regexp_replace({_entities_sql('t')}, '{_WS}', ' ', 'g'), ' '), 512) as title from (select rec_id, regexp_extract({_PAGE}, '(?is)<title[^>]*>(.*?)</title', 1) as t from index_docs)")
 def html_title(spark, d):
-    """Every record's title, read from the same page; the SQL leaves out the same records."""
+    """Every record's title, read from the same page."""
     return _docs(spark, d).select("rec_id", tx.html_title(_page()).alias("title"))
 
 
