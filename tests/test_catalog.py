@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.plans import catalog
+from lodestrata.plans import catalog, wire_catalog  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
