@@ -131,10 +131,11 @@ def tokens(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (field, term, id, tf, positions), lengths (id, title_len, body_len), totals by field, and the documents."""
+    """postings (field, term, id, tf, dl, positions), each with the length of its field, so that ranking needs no other
+    table of all documents; totals, a row with the number of documents and each field's mean length; and the documents."""
 
     postings: DataFrame
-    lengths: DataFrame
+    totals: DataFrame
     docs: DataFrame
 
 
@@ -147,27 +148,28 @@ def build(docs: DataFrame, id_col: str, terms: list[str] | None = None) -> Index
     own = own.filter(F.col("id").isNotNull())
     split = own.select("id", *[tokens(F.col(f)).alias(f) for f in TEXT_FIELDS])
     short = lambda c: F.size(F.filter(c, lambda t: F.octet_length(t) < MAX_TOKEN_BYTES))
-    lengths = split.select("id", *[short(F.col(f)).alias(f"{f}_len") for f in TEXT_FIELDS])
+    totals = split.agg(F.count("*").alias("n"), *[F.avg(short(F.col(f))).alias(f) for f in TEXT_FIELDS])
     parts = None
     for f in TEXT_FIELDS:
-        rows = split.select(F.lit(f).alias("field"), "id", F.posexplode(f).alias("pos", "term"))
+        rows = split.select(F.lit(f).alias("field"), "id", short(F.col(f)).alias("dl"), F.posexplode(f).alias("pos", "term"))
         parts = rows if parts is None else parts.union(rows)
     rows = parts.filter(F.octet_length("term") < MAX_TOKEN_BYTES)
     if terms is not None:
         rows = rows.filter(F.col("term").isin(terms))
-    postings = rows.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return Index(postings, lengths, own)
+    postings = rows.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return Index(postings, totals, own)
 
 
-def write_index(index: Index, path: str, buckets: int = 64) -> None:
+def write_index(index: Index, path: str, buckets: int | None = None) -> None:
     """Postings clustered by term, so that a query's terms are read from few row groups."""
+    buckets = buckets or index.postings.sparkSession.sparkContext.defaultParallelism
     index.postings.repartitionByRange(buckets, "term", "field").sortWithinPartitions("term", "field", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
 
 def read_index(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "docs")))
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "totals", "docs")))
 
 
 def matches(index: Index, tree) -> DataFrame:
@@ -177,7 +179,7 @@ def matches(index: Index, tree) -> DataFrame:
     own = leaves(tree)
     text = [x for x in own if x.field in TEXT_FIELDS]
     raw = [x for x in own if x.field in RAW_FIELDS]
-    stats = index.lengths.agg(F.count("*").alias("n"), *[F.avg(f"{f}_len").alias(f) for f in TEXT_FIELDS]).first()  # three numbers
+    stats = index.totals.first()  # three numbers
     n = stats["n"] or 1
     flags: dict[int, str] = {}
     joined = None
@@ -186,23 +188,22 @@ def matches(index: Index, tree) -> DataFrame:
             continue
         rows = index.postings.filter((F.col("field") == leaf.field) & F.col("term").isin(list(set(leaf.terms))))
         if len(leaf.terms) == 1:
-            hits = rows.select("id", F.col("tf").alias("tf"))
+            hits = rows.select("id", "tf", "dl")
         else:  # consecutive positions: every term's positions shifted back to the phrase's start
             at = F.col("positions")
-            by_term = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", at))).alias("m"))
+            by_term = rows.groupBy("id").agg(F.first("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", at))).alias("m"))
             shifted = [F.transform(F.coalesce(F.col("m")[t], F.array().cast("array<int>")), _back(j)) for j, t in enumerate(leaf.terms)]
             common = shifted[0]
             for s in shifted[1:]:
                 common = F.array_intersect(common, s)
-            hits = by_term.select("id", F.size(common).cast("bigint").alias("tf")).filter("tf > 0")
-        part = hits.select("id", F.lit(k).alias("leaf"), "tf")
+            hits = by_term.select("id", F.size(common).cast("bigint").alias("tf"), "dl").filter("tf > 0")
+        part = hits.select("id", F.lit(k).alias("leaf"), "tf", "dl")
         joined = part if joined is None else joined.union(part)
     for k, leaf in enumerate(own):
         if leaf in raw:
-            part = index.docs.filter(F.col(leaf.field) == leaf.terms[0]).select("id", F.lit(k).alias("leaf"), F.lit(1).cast("bigint").alias("tf"))
+            part = index.docs.filter(F.col(leaf.field) == leaf.terms[0]).select("id", F.lit(k).alias("leaf"), F.lit(1).cast("bigint").alias("tf"), F.lit(0).alias("dl"))
             joined = part if joined is None else joined.union(part)
     df = {r[0]: r[1] for r in joined.groupBy("leaf").count().collect()}  # one number for each leaf of the query
-    rows = joined.join(index.lengths, "id")
     aggs = []
     for k, leaf in enumerate(own):
         here = F.col("leaf") == k
@@ -210,13 +211,13 @@ def matches(index: Index, tree) -> DataFrame:
         if leaf in text:
             idf = float(_idf(n, df.get(k, 0)))
             average = float(stats[leaf.field] or 1.0) or 1.0
-            length = F.max(F.col(f"{leaf.field}_len"))
+            length = F.max(F.when(here, F.col("dl")))
             weight = F.lit(idf) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(average)))
         else:
             weight = F.when(tf.isNotNull(), F.lit(float(_idf(n, df.get(k, 0)))))
         aggs.append(F.coalesce(weight, F.lit(0.0)).alias(f"w{k}"))
         aggs.append(tf.isNotNull().alias(f"h{k}"))
-    table = rows.groupBy("id").agg(*aggs)
+    table = joined.groupBy("id").agg(*aggs)
 
     def holds(t) -> Column:
         if isinstance(t, Leaf):

@@ -18,7 +18,7 @@ from lodestrata.operators import fulltext as ft
 from lodestrata.operators import links as ln
 from lodestrata.operators import statistics as st
 from lodestrata.operators import upsert as up
-from lodestrata.store import materialize, table
+from lodestrata.store import keep, shared_dir, state_of, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -515,11 +515,20 @@ def file_provenance(spark, d):
 
 
 def _search(spark, d, q: str, limit: int = 50, **more) -> DataFrame:
-    tree = ft.parse(q)
-    index = ft.build(_docs(spark, d), "rec_id", ft.query_terms(tree))
-    if tree is not None:  # the query's postings and the lengths are used several times, the texts are cut into words once
-        index = ft.Index(materialize(index.postings, "postings"), materialize(index.lengths, "lengths"), index.docs)
-    return ft.search(index, q, limit, **more)
+    return ft.search(_index(spark, d), q, limit, **more)
+
+
+def _index(spark, d) -> ft.Index:
+    """The stored index of all documents; it is written when it is first asked for, and again when the table changes."""
+    path = f"{shared_dir(spark)}/lodestrata/index-{spark.sparkContext.applicationId}-{state_of(spark, f'{d}/index_docs.parquet')}"
+    if path not in _INDEXES:
+        keep(spark, path)
+        ft.write_index(ft.build(_docs(spark, d), "rec_id"), path)
+        _INDEXES.add(path)
+    return ft.read_index(spark, path)
+
+
+_INDEXES: set[str] = set()
 
 
 def _shown(hits: DataFrame) -> DataFrame:

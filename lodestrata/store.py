@@ -40,8 +40,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def state_of(spark: SparkSession, path: str) -> str:
+    """A name that changes when the table at ``path`` does: of its place, size and time of change."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    told = f"{path} {system.getContentSummary(where).getLength()} {system.getFileStatus(where).getModificationTime()}"
+    return uuid.uuid5(uuid.NAMESPACE_URL, told).hex
+
+
+def keep(spark: SparkSession, path: str) -> None:
+    """Have a table deleted when the driver ends, not before."""
+    if not _written and not _kept:
+        atexit.register(_clean)
+    _kept.append((spark, path))
+
+
+_kept: list[tuple[SparkSession, str]] = []
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path in [*_written, *_kept]:
         try:
             drop_path(spark, path)
         except Exception:  # the session is gone; the cluster's own cleaning has to do it
