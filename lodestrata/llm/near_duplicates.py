@@ -42,6 +42,8 @@ ESTIMATE = 0.36
 FREQUENT = 20
 #: At most so many frequent values are held by each worker (12 bytes each); beyond it they are joined.
 FREQUENT_HELD = 2_000_000
+#: A value in more texts is dealt to blocks of so many, and each two blocks meet in a list of their own.
+BLOCK = 1_000
 #: Copies of one text beyond this number are linked to the representative only, not to each other.
 EXPAND_COPIES = 64
 
@@ -135,6 +137,23 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LIST_SCHEMA = "v long, id long, n int, prints binary"
 
 
+def _dealt(v: np.ndarray, ids: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): the lists each row goes to. Rows of a value in many texts are dealt to blocks by their ids, and go to a
+    list for each other block, so that every two rows meet in one and no list is long."""
+    blocks = np.maximum(-(-often // BLOCK), 1)
+    times = np.maximum(blocks - 1, 1)
+    again = np.repeat(np.arange(len(v)), times)
+    key, of = v[again].copy(), blocks[again]
+    split = np.flatnonzero(of > 1)
+    if len(split):
+        own = (_mix(ids.astype(np.uint64) * _M3) % blocks.astype(np.uint64)).astype(np.int64)[again][split]
+        turn = (np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times))[split]
+        other = turn + (turn >= own)
+        pair = np.minimum(own, other) * of[split] + np.maximum(own, other) + 1
+        key[split] = _mix(key[split].astype(np.uint64) * _M1 + pair.astype(np.uint64) * _M3).astype(np.int64)
+    return key, again
+
+
 def _rarest(held: tuple[np.ndarray, np.ndarray]):
     """Of each sketch its rarest values, frequent ones last and by their number."""
 
@@ -155,9 +174,10 @@ def _rarest(held: tuple[np.ndarray, np.ndarray]):
             order = np.lexsort((v, often, row))
             place = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = order[place < np.repeat(sizes - np.minimum(np.ceil(THRESHOLD * sizes).astype(np.int64), OVERLAP) + 1, sizes)]
-            take = pa.array(row[keep])
+            key, again = _dealt(v[keep], batch.column("id").to_numpy(zero_copy_only=False)[row[keep]], often[keep])
+            take = pa.array(row[keep][again])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v[keep]), batch.column("id").take(take), batch.column("n").take(take), batch.column("prints").take(take)],
+                [pa.array(key), batch.column("id").take(take), batch.column("n").take(take), batch.column("prints").take(take)],
                 ["v", "id", "n", "prints"],
             )
 
@@ -190,14 +210,14 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.r_[cuts, len(v)])
         for size in np.unique(sizes[sizes > 1]):
             starts = cuts[sizes == size]
-            if size <= 2000:
+            if size <= 4 * BLOCK:
                 i, j = np.triu_indices(size, 1)
                 step = max(1, 1_000_000 // len(i))
                 for k in range(0, len(starts), step):
                     s = starts[k : k + step, None]
                     if (got := pairs((s + i).ravel(), (s + j).ravel(), ids, n, prints)) is not None:
                         yield got
-            else:  # texts nearly all the same: row blocks against the list, still compared in numpy
+            else:  # only if ids crowd in a block: row by row against the list, still compared in numpy
                 for s in starts:
                     for x in range(size - 1):
                         right = np.arange(s + x + 1, s + size)
@@ -256,8 +276,13 @@ def _lists(distinct: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("often"), "v"))).alias("all"))
         .select("id", F.explode(F.expr(f"slice(all, 1, size(all) - least({OVERLAP}, cast(ceil({THRESHOLD} * size(all)) as int)) + 1)")).alias("x"))
-        .select("id", F.col("x.v").alias("v"))
+        .select("id", "x.v", F.ceil(F.col("x.often") / BLOCK).alias("blocks"))
     )
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1), lambda k: k != own)
+    pair = F.xxhash64("v", F.least("own", "other"), F.greatest("own", "other"))
+    split = ranked.filter("blocks > 1").select("id", "v", own.alias("own"), F.explode(others).alias("other")).select("id", pair.alias("v"))
+    ranked = ranked.filter("blocks <= 1").select("id", "v").union(split)
     return ranked.join(distinct.select("id", "n", "prints"), "id").select("v", "id", "n", "prints")
 
 
