@@ -95,8 +95,8 @@ class Trie:
 class Lexicon:
     """Words and pairs with their counts, and what can be told of a word by them."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int]):
-        self.words, self.pairs = dict(words), pairs
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], readings: dict[str, list[tuple[str, float]]] | None = None):
+        self.words, self.pairs, self.given, self.counted_words = dict(words), pairs, readings or {}, words
         for w, n in words.items():  # the parts of words with a hyphen are words where a line ends between them
             if "-" in w:
                 for part in w.split("-"):
@@ -150,14 +150,22 @@ class Lexicon:
                 out.add(printed.capitalize() + word[len(read) :])
         return out
 
+    def _doubts(self, word: str) -> tuple[bool, bool, bool]:
+        """(plain, likely, odd): letters only; near a much commoner word by a confusion; or with letters as in few words."""
+        plain = word.replace("’", "").replace("-", "").replace("'", "").isalpha()
+        return plain, bool(self.dominating(word)), not plain or (self.words.get(word, 0) < self.known and self.odd(word))
+
+    def suspicious(self, word: str) -> bool:
+        return any(self._doubts(word)[1:])
+
     def readings(self, word: str) -> list[tuple[str, float]]:
         """Likelier words for a word that may be misread, with their weights; none if it is good."""
+        if (given := self.given.get(word)) is not None:
+            return given
         if word not in self.fixed:
             found = []
             own = max(self.words.get(word, 0), 1)
-            plain = word.replace("’", "").replace("-", "").replace("'", "").isalpha()
-            likely = bool(self.dominating(word))
-            odd = not plain or (own < self.known and self.odd(word))
+            plain, likely, odd = self._doubts(word)
             if likely or odd:
                 bound, swaps = (1 if len(word) < 7 else 2), self.swaps(word)
                 far = own * DOMINATED * (1 if not plain else 2)
@@ -191,6 +199,29 @@ def core(token: str) -> tuple[str, str, str]:
     return token[: len(token) - len(left)], word, left[len(word) :]
 
 
+def word_of(token: str) -> tuple[str, str, str]:
+    """As ``core``, but an opening bracket at the word's end belongs to it: it may be a misread letter."""
+    a, w, z = core(token)
+    if z.startswith("(") or (w.endswith("(") and len(w) > 2):
+        w = w.rstrip("(")
+        w = w + "(" if token.rstrip(_outer).endswith("(") else w
+    return a, w, z
+
+
+def words_asked(title: str, body: str) -> set[str]:
+    """The words that ``judge`` will look up, but for some at line ends with page furniture between their parts."""
+    out, left = set(), ""
+    for line in (*re.split("[\n\f]", body), title):
+        tokens = line.split()
+        if not tokens:
+            continue
+        out.update(word_of(t)[1] for t in tokens)
+        if left:
+            out.add(core(left + tokens[0])[1])
+        left = tokens[-1].rstrip("-‐¬=­") if _hyphen.search(line) else ""
+    return {w for w in out if checked(w)}
+
+
 def checked(word: str) -> bool:
     """Whether a word can be misread: host names, numbers and single letters can't be told."""
     if len(word) < 3 or "." in word or "/" in word or "@" in word:
@@ -356,11 +387,8 @@ def judge(lexicon: Lexicon, title: str, body: str) -> tuple[list[tuple[int, str]
         out = []
         nonlocal previous
         for k, token in enumerate(tokens):
-            a, w, z = core(token)
+            a, w, z = word_of(token)
             follow = core(tokens[k + 1])[1] if k + 1 < len(tokens) else ""
-            if z.startswith("(") or (w.endswith("(") and len(w) > 2):
-                w, z = w.rstrip("("), z
-                w = w + "(" if token.rstrip(_outer).endswith("(") else w
             if misread_number(w):
                 misread.add(number)
             elif checked(w) and k != broken:
@@ -438,9 +466,41 @@ def lexicon_of(docs: DataFrame) -> Lexicon:
     return Lexicon({r[0]: r[1] for r in counts.toLocalIterator()}, {(r[0], r[1]): r[2] for r in pairs.toLocalIterator()})
 
 
-def _judger(words: dict, pairs: dict, repaired: bool):
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own: set[str] = set()
+        for title, body in zip(batch.column("title").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            own |= words_asked(title or "", body or "")
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string())], ["word"])
+
+
+def _reader(words: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(words, {})
+        for batch in batches:
+            asked = [w for w in batch.column("word").to_pylist() if lexicon.suspicious(w)]
+            found = [lexicon.readings(w) for w in asked]
+            if asked:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked, pa.string()), pa.array([[c for c, _ in f] for f in found], pa.list_(pa.string())), pa.array([[x for _, x in f] for f in found], pa.list_(pa.float64()))],
+                    ["word", "reading", "weight"],
+                )
+
+    return run
+
+
+def readings_of(docs: DataFrame, lexicon: Lexicon) -> dict[str, list[tuple[str, float]]]:
+    """The readings of every suspicious word of docs (body, title), each word looked up once, spread over the cores."""
+    parts = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    asked = docs.mapInArrow(_asked, "word string").distinct().repartition(parts, F.xxhash64("word"))
+    found = materialize(asked.mapInArrow(_reader(lexicon.counted_words), "word string, reading array<string>, weight array<double>"), "readings")
+    return {r[0]: list(zip(r[1], r[2], strict=True)) for r in found.toLocalIterator()}
+
+
+def _judger(words: dict, pairs: dict, readings: dict, repaired: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(words, pairs)
+        lexicon = Lexicon(words, pairs, readings)
         for batch in batches:
             rows: dict[str, list] = defaultdict(list)
             for i, title, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -463,9 +523,10 @@ def _judger(words: dict, pairs: dict, repaired: bool):
 def _applied(docs: DataFrame, repaired: bool, schema: str) -> DataFrame:
     own = docs.filter("id is not null and (body is not null or title is not null)").select("id", "title", "body")
     lexicon = lexicon_of(own.select("title", "body"))
+    readings = readings_of(own.select("title", "body"), lexicon)
     # judging costs far more than reading: small files are spread over the cores, which the adaptive planner would not do
     parts = max(own.sparkSession.sparkContext.defaultParallelism, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return own.repartition(parts, "id").mapInArrow(_judger(lexicon.words, lexicon.pairs, repaired), schema)
+    return own.repartition(parts, "id").mapInArrow(_judger(lexicon.counted_words, lexicon.pairs, readings, repaired), schema)
 
 
 def flawed_lines(docs: DataFrame) -> DataFrame:
