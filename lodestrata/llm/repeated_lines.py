@@ -5,8 +5,12 @@ documents are spread by site and url, never by site alone: a site of any size is
 as all captures of a url are in one batch, numbers of urls add up over batches. Each batch's sequences are concatenated,
 separated by symbols that occur once, and sorted into a suffix array by prefix doubling; runs of suffixes with common
 prefixes, the array's prefix intervals, are the repeated blocks. An interval's urls are counted, the counts are added over
-all batches, and the lines of blocks that span ``MIN_URLS`` urls are reported. A block of several lines spans no more urls
-than each of its lines, so the intervals of one line are enough to report lines; longer ones tell the blocks themselves.
+all batches, and the lines of blocks that span ``MIN_URLS`` urls are reported.
+
+To report lines the blocks of 1, 2, 4, 8 and more lines are counted, to the end of the longest document. These stand for
+blocks of every length: one of another length is covered by two of the next smaller power of two, which span its urls at
+least. A line of too few letters ends a block. A block also spans no more urls than each of its lines, so by the definition
+of a repeated line longer blocks confirm the lines of shorter ones and can add none.
 """
 
 from __future__ import annotations
@@ -116,6 +120,7 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
 
 
 BLOCK_SCHEMA = "block long, size int, urls long, url long"
+PLACE_SCHEMA = "id long, at int, size int, block long"
 
 
 def prefix_intervals(order: np.ndarray, lcp: np.ndarray, size: int) -> np.ndarray:
@@ -123,20 +128,42 @@ def prefix_intervals(order: np.ndarray, lcp: np.ndarray, size: int) -> np.ndarra
     return np.cumsum(np.r_[True, lcp < size]) - 1 if len(order) else np.empty(0, np.int64)
 
 
-def _count_blocks(ids: np.ndarray, urls: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def block_keys(ids: np.ndarray, longest: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each size in lines, the keys of the blocks that start at each position: sizes up to ``longest``, or 1, 2, 4 and so
+    on without end if it is None. Keys of blocks that don't end within their document tell nothing."""
+    key, size = ids.astype(np.uint64), 1
+    while longest is None or size <= longest:
+        yield size, key
+        after = np.zeros_like(key)
+        if longest is None:
+            after[: max(0, len(key) - size)] = key[size:]
+            key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ after
+            key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            size *= 2
+        else:
+            after[: max(0, len(key) - size)] = ids.astype(np.uint64)[size:]
+            key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ ((after >> np.uint64(3)) + np.uint64(size))
+            size += 1
+
+
+def _room(gap: np.ndarray) -> np.ndarray:
+    """Of each position, the lines up to the next gap; the last position is one."""
+    to_gap = np.flatnonzero(gap)
+    return to_gap[np.searchsorted(to_gap, np.arange(len(gap)))] - np.arange(len(gap))
+
+
+def _count_blocks(ids: np.ndarray, urls: np.ndarray, longest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the concatenated lines (0 between documents): the blocks' keys, sizes in lines and the urls they stand in, each
     once. Blocks that span documents are none; those that stand once count too, for they may stand in other batches."""
     symbols = ids.copy()
     gap = symbols == 0
     symbols[gap] = -1 - np.arange(gap.sum())
-    order, levels = suffix_array(symbols, longest)
+    order, levels = suffix_array(symbols, longest or len(ids))
     lcp = common_prefixes(order, levels)
-    to_gap = np.flatnonzero(gap)
-    room = to_gap[np.searchsorted(to_gap, np.arange(len(ids)))] - np.arange(len(ids))  # lines up to the document's end
+    room = _room(gap)
     known, url = np.unique(urls, return_inverse=True)
     out = []
-    key = ids.astype(np.uint64)
-    for size in range(1, longest + 1):
+    for size, key in block_keys(ids, longest):
         interval = prefix_intervals(order, lcp, size)
         inside = room[order] >= size
         if not inside.any():
@@ -145,15 +172,12 @@ def _count_blocks(ids: np.ndarray, urls: np.ndarray, longest: int) -> tuple[np.n
         first = np.full(interval[-1] + 1, -1, np.int64)
         first[interval[inside][::-1]] = order[inside][::-1]
         out.append((key[first[pairs // len(known)]].view(np.int64), np.full(len(pairs), size, np.int32), known[pairs % len(known)]))
-        joined = np.zeros_like(key)
-        joined[: max(0, len(key) - size)] = ids.astype(np.uint64)[size:]
-        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ ((joined >> np.uint64(3)) + np.uint64(size))
     if not out:
         return (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _blocks(longest: int):
+def _blocks(longest: int | None):
     def batch_of(ids: list[int], urls: list[int], split: set[int]) -> pa.RecordBatch:
         block, size, url = _count_blocks(np.array(ids, np.int64), np.array(urls, np.int64), longest)
         apart = np.isin(url, np.array(sorted(split), np.int64))
@@ -192,7 +216,7 @@ def _blocks(longest: int):
                 if any(own) and own not in seen:  # captures of a url with the same lines count once
                     if not dealt:
                         seen.add(own)
-                    ids += (*own, 0) if longest > 1 else (*(x for x in set(own) if x), 0)
+                    ids += (*own, 0) if longest != 1 else (*(x for x in set(own) if x), 0)
                     urls += [url] * (len(ids) - len(urls))
         if ids:
             yield batch_of(ids, urls, split)
@@ -205,8 +229,9 @@ def _sequences(docs: DataFrame, id_col: str, url_col: str, text_col: str) -> Dat
     return materialize(own.filter("id is not null and url is not null and body is not null").mapInArrow(_lines, LINES_SCHEMA), "lines")
 
 
-def _counted(sequences: DataFrame, longest: int) -> DataFrame:
-    """(block, size, urls) of the blocks of up to ``longest`` lines in at least MIN_URLS urls of their site.
+def _counted(sequences: DataFrame, longest: int | None) -> DataFrame:
+    """(block, size, urls) of the blocks of up to ``longest`` lines, or of 1, 2, 4 and more lines to the end of the longest
+    document if it is None, in at least MIN_URLS urls of their site.
 
     Captures are dealt by url, so that the urls counted in each batch add up. A url with more than DEALT captures is dealt
     to many tasks, and its (block, url) pairs are made distinct before they are counted.
@@ -225,17 +250,57 @@ def _counted(sequences: DataFrame, longest: int) -> DataFrame:
     return counts.filter(F.col("urls") >= MIN_URLS)
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where blocks of 1, 2, 4 and more lines start in their document, from 0."""
+    for batch in batches:
+        lengths = batch.column("lines").value_lengths().to_numpy(zero_copy_only=False)
+        if not len(lengths):
+            continue
+        row = np.repeat(np.arange(len(lengths)), lengths + 1)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
+        ids = np.zeros(len(row), np.int64)  # 0 after each document
+        ids[at < lengths[row]] = batch.column("lines").flatten().to_numpy(zero_copy_only=False)
+        own = batch.column("id").to_numpy(zero_copy_only=False)
+        room = _room(ids == 0)
+        for size, key in block_keys(ids, None):
+            start = np.flatnonzero(room >= size)
+            if not len(start):
+                break
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[row[start]]), pa.array(at[start].astype(np.int32)), pa.array(np.full(len(start), size, np.int32)), pa.array(key[start].view(np.int64))],
+                ["id", "at", "size", "block"],
+            )
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers, from 1, of the lines that blocks cover, each once; the blocks come by id and start."""
+    last, reached = None, 0  # the lines of the last id are reported up to here
+    for batch in batches:
+        ids, at, size = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "at", "size"))
+        if not len(ids):
+            continue
+        new = np.r_[ids[0] != last, ids[1:] != ids[:-1]]
+        apart = np.cumsum(new) << 40  # so that the ends of one id are below those of the next
+        end = np.maximum.accumulate(np.r_[reached, apart + at + size])
+        begin = np.maximum(end[:-1], apart + at) - apart
+        count = np.maximum(end[1:] - apart - begin, 0)
+        line = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+        last, reached = ids[-1], end[-1] - apart[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array((line + 1).astype(np.int32))], ["id", "line_no"])
+
+
 def repeated_lines(docs: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFrame:
-    """(id, line_no): the lines, counted from 1, whose letters stand in at least MIN_URLS urls of their site.
+    """(id, line_no): the lines, counted from 1, of the blocks of any length that stand in at least MIN_URLS urls of their
+    site; so the lines whose letters do.
 
-    A line of a longer repeated block is repeated itself, so the intervals of prefixes of one line give every line of every
-    block; longer ones (``repeated_blocks``) can add none. Rows with a null id, url or text have no lines. Lines with fewer
-    than MIN_LETTERS letters do not count. An id that comes twice gives the lines of both rows once.
+    Each record's blocks of 1, 2, 4 and more lines are looked up among the repeated ones, and the lines that these cover are
+    reported. Rows with a null id, url or text have no lines. Lines with fewer than MIN_LETTERS letters do not count. An id
+    that comes twice gives the lines of both rows once.
     """
     sequences = _sequences(docs, id_col, url_col, text_col)
-    often = _counted(sequences, 1).select(F.col("block").alias("line"))
-    lines = sequences.select("id", F.posexplode("lines").alias("at", "line")).filter("line <> 0")
-    return lines.join(often, "line", "left_semi").select("id", (F.col("at") + 1).alias("line_no")).distinct()
+    often = _counted(sequences, None).select("size", "block")
+    places = sequences.select("id", "lines").mapInArrow(_places, PLACE_SCHEMA).join(often, ["size", "block"], "left_semi")
+    return places.select("id", "at", "size").repartition("id").sortWithinPartitions("id", "at").mapInArrow(_covered, "id long, line_no int")
 
 
 def repeated_blocks(docs: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFrame:
